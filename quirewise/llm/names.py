@@ -129,7 +129,7 @@ def parse_name(name: str) -> str | None:
     `u|a b|initials`: a person of two or more full words whose order is not known.
     """
     text = unicodedata.normalize("NFKC", name)
-    text = re.sub(r"[​-‏⁠﻿­]", "", text)
+    text = re.sub("[\u200b-\u200f\u2060\ufeff\u00ad]", "", text)
     inside = re.search(r"\(([^)]*)\)", text)
     folded = fold(re.sub(r"\s+", " ", text)).strip()
     if not re.search(r"[^\W\d_]", folded) or ROLE.match(folded):
