@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirewise.llm import lookalike, names, nearcopies
+from quirewise.llm import lookalike, mixing, names, nearcopies, packing, spans, tokens
 from quirewise.session import cut
 from quirewise.sources.tables import records, table
 
@@ -54,7 +54,38 @@ def p4_groups(spark: SparkSession, folder: str) -> DataFrame:
     return nearcopies.near_groups(members, cut(links), "issue_key")
 
 
-QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found, "p4_groups": p4_groups}
+def _sized(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
+    """Documents with their size in tokens, counted once."""
+    return cut(table(spark, folder, "documents").select("doc_id", *columns, tokens.n_tokens(F.col("text")).alias("n_tokens")))
+
+
+def p6_packs(spark: SparkSession, folder: str) -> DataFrame:
+    """The pack of every piece of every document, with the fill of the pack, for each capacity."""
+    return packing.pack(_sized(spark, folder), table(spark, folder, "pack_sizes"))
+
+
+def p7_mix(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents chosen to meet the target shares, with their copies."""
+    return mixing.mix(_sized(spark, folder, "source"), table(spark, folder, "mix_targets"))[0]
+
+
+def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """Target and actual share of each source."""
+    return mixing.mix(_sized(spark, folder, "source"), table(spark, folder, "mix_targets"))[1]
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Runs of word positions that stand in 40 or more consecutive words found in another document."""
+    return spans.shared_spans(table(spark, folder, "documents"))
+
+
+def p8_share(spark: SparkSession, folder: str) -> DataFrame:
+    """How much of each document is shared."""
+    docs = table(spark, folder, "documents")
+    return spans.shared_share(docs, spans.shared_spans(docs))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p3_found, p4_found, p4_groups, p6_packs, p7_mix, p7_shares, p8_found, p8_share)}
 
 _LATIN = "aeopcyxijshdqwlvyABEKMHOPCTXSIJYYGVQWocjABEZHIKMNOPTYXCJ--"
 _OTHER = "аеорсухіјѕһԁԛԝӏѵүАВЕКМНОРСТХЅІЈУҮԌѴԚԜοϲϳΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹͿ‐‑"
@@ -92,5 +123,26 @@ d AS (SELECT DISTINCT least(a.issue_key, b.issue_key) AS x, greatest(a.issue_key
   FROM (SELECT issue_key, pair_id, unnest(possible_duplicates) AS o FROM s) a JOIN s b ON a.pair_id = b.pair_id AND a.o = b.id AND a.issue_key <> b.issue_key)
 SELECT coalesce(c.x, d.x) AS issue_a, coalesce(c.y, d.y) AS issue_b, CASE WHEN c.x IS NULL THEN 'wrong' WHEN d.x IS NULL THEN 'unlisted' ELSE 'listed' END AS kind
 FROM c FULL JOIN d ON c.x = d.x AND c.y = d.y
+""",
+    "p8_found": r"""
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM documents),
+g AS (SELECT doc_id, unnest(range(0, len(w) - 39)) AS i, w FROM w WHERE len(w) >= 40),
+h AS (SELECT doc_id, i, md5(array_to_string(w[i + 1 : i + 40], ' ')) AS h FROM g),
+s AS (SELECT doc_id, i FROM (SELECT *, min(doc_id) OVER (PARTITION BY h) AS a, max(doc_id) OVER (PARTITION BY h) AS b FROM h) WHERE a <> b),
+n AS (SELECT *, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 40 THEN 0 ELSE 1 END AS new FROM s),
+r AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM n),
+found AS (SELECT doc_id, min(i) AS start_word, max(i) + 40 - min(i) AS n_words FROM r GROUP BY doc_id, k)
+SELECT doc_id, start_word, n_words FROM found
+""",
+    "p8_share": r"""
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM documents),
+g AS (SELECT doc_id, unnest(range(0, len(w) - 39)) AS i, w FROM w WHERE len(w) >= 40),
+h AS (SELECT doc_id, i, md5(array_to_string(w[i + 1 : i + 40], ' ')) AS h FROM g),
+s AS (SELECT doc_id, i FROM (SELECT *, min(doc_id) OVER (PARTITION BY h) AS a, max(doc_id) OVER (PARTITION BY h) AS b FROM h) WHERE a <> b),
+n AS (SELECT *, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 40 THEN 0 ELSE 1 END AS new FROM s),
+r AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM n),
+found AS (SELECT doc_id, min(i) AS start_word, max(i) + 40 - min(i) AS n_words FROM r GROUP BY doc_id, k)
+SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_shared, CASE WHEN len(w.w) > 0 THEN coalesce(n, 0) / len(w.w) ELSE 0 END AS share
+FROM w LEFT JOIN (SELECT doc_id, sum(n_words) AS n FROM found GROUP BY doc_id) f ON f.doc_id = w.doc_id
 """,
 }
