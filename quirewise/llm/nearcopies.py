@@ -70,7 +70,7 @@ def _search(qv: np.ndarray, qn: np.ndarray, pv: np.ndarray, pn: np.ndarray, num:
     return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, int), np.zeros(0, int))
 
 
-def _candidates(num: int, den: int):
+def _candidates(num: int, den: int, flat: int):
     """mapInPandas function: rows sorted by block -> pairs that survive size, position and count-vector bounds."""
 
     def of(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -82,10 +82,10 @@ def _candidates(num: int, den: int):
         block = np.cumsum(first) - 1
         size = np.bincount(block)
         cross = pdf["i"].to_numpy() != pdf["j"].to_numpy()
-        small = (size[block] <= FLAT) & ~cross
+        small = (size[block] <= flat) & ~cross
         left, right = [], []
         at = np.flatnonzero(small)
-        for d in range(1, FLAT):
+        for d in range(1, flat):
             a, b = at[:-d], at[d:]
             same = block[a] == block[b]
             if not same.any():
@@ -98,7 +98,7 @@ def _candidates(num: int, den: int):
             left.append(a[ok])
             right.append(b[ok])
         starts = np.flatnonzero(first)
-        for g in np.flatnonzero((size > FLAT) | cross[starts]):
+        for g in np.flatnonzero((size > flat) | cross[starts]):
             rows = np.arange(starts[g], starts[g] + size[g])
             if cross[rows[0]]:
                 lower = part[rows] == pdf["i"].iloc[rows[0]]
@@ -181,7 +181,7 @@ def near_copies(df: DataFrame, ident: str, text: str, k: int = 5, num: int = 4,
     rows = rows.join(sizes, "tok").withColumn("part", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
     rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("tok", F.least("part", "o").alias("i"), F.greatest("part", "o").alias("j"), "part", "cls", "n", "pos", "vec")
     sorted_rows = rows.repartition("tok", "i", "j").sortWithinPartitions("tok", "i", "j")
-    met = sorted_rows.mapInPandas(_candidates(num, den), "a binary, b binary").distinct()
+    met = sorted_rows.mapInPandas(_candidates(num, den, FLAT), "a binary, b binary").distinct()
     a = classes.select(F.col("cls").alias("a"), F.col("sh").alias("sa"))
     b = classes.select(F.col("cls").alias("b"), F.col("sh").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))

@@ -32,7 +32,7 @@ class _Hashes(dict):
         return h
 
 
-def _pieces(docs: np.ndarray, texts: list[str], least: int, memo: _Hashes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def _pieces(docs: np.ndarray, texts: list[str], least: int, memo: _Hashes, chunk: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(doc, start, window hash, sketch) of all windows of `least` words, a bounded number at once."""
     pile: list[tuple[int, int, np.ndarray]] = []
     size = 0
@@ -54,11 +54,11 @@ def _pieces(docs: np.ndarray, texts: list[str], least: int, memo: _Hashes) -> It
         if len(w) < least:
             continue
         h = np.fromiter(map(memo.__getitem__, w), np.uint64, len(w))
-        for at in range(0, len(h) - least + 1, CHUNK):
-            part = h[at : at + CHUNK + least - 1]
+        for at in range(0, len(h) - least + 1, chunk):
+            part = h[at : at + chunk + least - 1]
             pile.append((int(doc), at, part))
             size += len(part)
-            if size >= CHUNK:
+            if size >= chunk:
                 yield flush()
                 pile, size = [], 0
     if pile:
@@ -75,7 +75,7 @@ def _runs(doc: np.ndarray, start: np.ndarray, *same: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.r_[True, new])
 
 
-def _scan(least: int, hot: np.ndarray) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+def _scan(least: int, hot: np.ndarray, chunk: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     """Rows (key, doc, start, w, n) of all windows.
 
     Ordinary rows: key is the sketch, w the hashes of neighbouring windows that have it,
@@ -91,7 +91,7 @@ def _scan(least: int, hot: np.ndarray) -> Callable[[Iterator[pd.DataFrame]], Ite
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         memo = _Hashes()
         for pdf in batches:
-            for doc, start, window, sketch in _pieces(pdf["doc"].to_numpy(), pdf["text"].tolist(), least, memo):
+            for doc, start, window, sketch in _pieces(pdf["doc"].to_numpy(), pdf["text"].tolist(), least, memo, chunk):
                 apart = np.isin(sketch, hot) if len(hot) else np.zeros(len(sketch), bool)
                 d, s, x, k = (v[~apart] for v in (doc, start, window, sketch))
                 at = _runs(d, s, k)
@@ -139,13 +139,13 @@ def _merge(least: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFra
     return run
 
 
-def _hot_sketches(docs: DataFrame, least: int) -> np.ndarray:
+def _hot_sketches(docs: DataFrame, least: int, chunk: int) -> np.ndarray:
     """The most frequent sketches, estimated on one document in HINT_SAMPLE; at most HOT_MOST come to the driver."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         memo = _Hashes()
         for pdf in batches:
-            for doc, start, _, sketch in _pieces(pdf["doc"].to_numpy(), pdf["text"].tolist(), least, memo):
+            for doc, start, _, sketch in _pieces(pdf["doc"].to_numpy(), pdf["text"].tolist(), least, memo, chunk):
                 at = _runs(doc, start, sketch)
                 yield pd.DataFrame({"key": sketch[at].view(np.int64)})
 
@@ -169,8 +169,8 @@ def shared_spans(df: DataFrame, ident: str = "doc_id", text: str = "text", least
     sketch, none of pairs; frequent sketches are settled before it (see _scan).
     """
     docs = df.select(F.col(ident).cast("bigint").alias("doc"), F.col(text).alias("text")).filter("text is not null and doc is not null")
-    hot = _hot_sketches(docs, least)
-    rows = docs.mapInPandas(_scan(least, hot), "key long, doc long, start int, w array<long>, n int")
+    hot = _hot_sketches(docs, least, CHUNK)
+    rows = docs.mapInPandas(_scan(least, hot, CHUNK), "key long, doc long, start int, w array<long>, n int")
     by_key = Window.partitionBy("key")
     met = rows.withColumns({"lo": F.min("doc").over(by_key), "hi": F.max("doc").over(by_key)}).filter("lo <> hi or n > 0").drop("lo", "hi")
     each = met.select("key", "doc", "start", "n", F.posexplode_outer("w").alias("at", "x"))
