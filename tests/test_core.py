@@ -1,0 +1,177 @@
+"""Copies of tables, text functions, requests, guard, threads, roll-ups and sinks."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from quirewise.functions import text as T
+from quirewise.operators import guard as G
+from quirewise.operators import locate as L
+from quirewise.operators import requests as Q
+from quirewise.operators import rollups as U
+from quirewise.operators import threads as H
+from quirewise.operators.copydiff import audit_table_copies, comparable_value, diff_copies
+from quirewise.sources import sinks as K
+
+
+def test_diff_copies(spark):
+    a = spark.createDataFrame([(1, "x", "1", "z"), (2, "y", None, "z"), (None, "n", "3", "z"), (4, "only", "", "z")], "k int, f string, g string, in_left string")
+    b = spark.createDataFrame([(1, "x", "2"), (2, "y", None), (None, "m", "3"), (5, "only", "")], "k int, f string, g string")
+    got = {r["k"]: (r["in_left"], r["in_right"], [tuple(d) for d in r["differences"]]) for r in diff_copies(a, b, ["k"], ["f", "g"]).collect()}
+    assert got == {1: (True, True, [("g", "1", "2")]), 2: (True, True, []), None: (True, True, [("f", "n", "m")]), 4: (True, False, []), 5: (False, True, [])}
+    assert diff_copies(a.limit(0), b.limit(0), ["k"]).count() == 0
+
+
+@pytest.mark.parametrize("a,b,same", [("1,000", "1000.0", True), (" x\n", "x", True), ("-0", "0", True), ("+5", "5", True), ("1,00", "100", False), ("5%", "5", False), (None, " ", True), (".50", "0.5", True), ("1" * 60, "1" * 59 + "2", False), ("X", "x", False), ("007", "7", True), ("n:7", "7", False)])
+def test_values(spark, a, b, same):
+    df = spark.createDataFrame([(a, b)], "a string, b string").select((comparable_value(F.col("a")) == comparable_value(F.col("b"))).alias("same"))
+    assert df.first()["same"] is same
+
+
+def test_audit(spark):
+    grid = lambda side, t, rows: [("P", side, t, r, c, x) for r, row in enumerate(rows) for c, x in enumerate(row)]
+    cells = grid("original", 0, [["I", " A ", "B"], ["x", "1", "2"], ["y", "3", "4"], ["gone", "5", None]])
+    cells += grid("revised", 0, [["I", "B", "A", "C"], ["new", "7", "8", "9"], ["y\t", "4.0", "", "1"], ["x", "2", "10", "1"]])
+    cells += grid("original", 1, [["I", "A"], ["r", "1"]])
+    log = [("P", 0, "x", "A", "1", "11"), ("P", 0, "y", "B", "4", "4"), ("P", 9, "q", "q", None, "1")]
+    df = spark.createDataFrame(cells, "pair_id string, side string, table_index int, row int, col int, text string")
+    lg = spark.createDataFrame(log, "pair_id string, table_index int, row_label string, col_label string, original string, revised string")
+    got = {tuple(r)[1:] for r in audit_table_copies(df, lg).collect()}
+    assert got == {
+        (0, "gone", "", "row_only_original"), (0, "new", "", "row_only_revised"), (1, "r", "", "row_only_original"), (0, "", "C", "col_only_revised"),
+        (0, "x", "A", "value"), (0, "x", "A", "log_revised"), (0, "y", "A", "value"), (0, "y", "A", "log_missing"), (0, "y", "B", "log_extra"), (9, "q", "q", "log_extra"),
+    }
+    assert audit_table_copies(df.limit(0), lg.limit(0)).count() == 0
+
+
+def one(spark, text, *columns):
+    return spark.createDataFrame([(text,)], "t string").select(*columns).first()
+
+
+def test_text(spark):
+    t = F.col("t")
+    assert one(spark, "  It’s “A–B”  ok­", T.normalize(t))[0] == 'it\'s "a-b" ok'
+    assert one(spark, "Don't re-run v1.2_x!", T.tokens(t))[0] == ["don't", "re-run", "v1.2", "x"]
+    assert one(spark, "See Dr. No. It ended. (Yes) e.g. This? No", T.sentences(t))[0] == ["See Dr. No. It ended.", "(Yes) e.g. This?", "No"]
+    assert one(spark, "1,000 and -3.5% x4 30-44 5.", T.numbers_in(t))[0] == ["1000", "-3.5%", "30", "44", "5"]
+    assert one(spark, "seven 7 17 Seven", T.contains_number(t, "seven"))[0] == 3
+    words = {"studies": "study", "stations": "stat", "samplings": "sampl", "sampling": "sampl", "cities": "city", "added": "add", "boxes": "box", "see": "see", "size": "size", "sample": "sampl", "notes": "not"}
+    for w, s in words.items():
+        assert one(spark, w, T.stem(t))[0] == s, w
+    assert tuple(one(spark, "Chapter 3: Results", T.heading_parts(t))[0]) == ("3", "Results")
+    assert tuple(one(spark, "fig. A2) Flow", T.caption_info(t))[0]) == ("figure", "A2", "Flow")
+    assert one(spark, "since 1999 (2012a)", T.parse_year(t))[0] == 2012
+    assert one(spark, "=1+1", T.safe_cell(t))[0] == "'=1+1"
+    assert one(spark, "a|b\\<c>", T.md_escape(t))[0] == "a\\|b\\\\&lt;c&gt;"
+    assert one(spark, 'He said "a b c d" and "much longer one here"', T.quoted_anchor(t))[0] == "much longer one here"
+    assert one(spark, None, T.normalize(t))[0] is None and one(spark, "", T.tokens(t))[0] == []
+    assert T.token_ratio("", "") == 1.0 and T.token_ratio("a", "") == 0.0 and T.char_ratio("tide", "diet") != T.char_ratio("diet", "tide")
+    assert T.word_changes("the old cat.", "The new cat sat") == (["new", "sat"], ["old"])
+
+
+GOLDEN = [
+    ("Please remove the second paragraph.", "REMOVE"), ("Rename this heading.", "REPLACE"), ("Move it to Section 3.", "MOVE"), ("Explain why this was done.", "EXPLAIN"), ("Clarify the scale.", "CLARIFY"), ("Add more recent references.", "REFERENCE"),
+    ("Update the table with new values.", "TABLE"), ("Correct Figure 2.", "FIGURE"), ("Is this the final number?", "VERIFY"), ("Why was this done?", "EXPLAIN"), ("It is 18.6 million, not 16.8.", "CORRECT"), ("Check the APA references.", "REFORMAT"), ("Fix the p-value.", "STATISTICAL"),
+    ("Good point!", "OTHER"), ("", "OTHER"), (None, "OTHER"), ("Merge both parts.", "MERGE"), ("Elaborate on this.", "EXPAND"), ("Cite the source.", "CITE"),
+]
+
+
+def test_categories(spark):
+    df = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(GOLDEN)], "k int, t string")
+    got = {r["k"]: r for r in Q.classify(df, "t").collect()}
+    assert [(t, got[k]["category"]) for k, (t, _) in enumerate(GOLDEN)] == [(t, c) for t, c in GOLDEN]
+    assert not got[13]["actionable"] and not got[14]["actionable"] and got[0]["actionable"]
+
+
+def test_parse(spark):
+    text = 'Please change "old name" to "new name" in Section 2.1, Table 4 and Figure A1 on page 7; cite at least three papers published after 2019. The value should be 396, not 384.'
+    r = Q.parse_request(spark.createDataFrame([(text,), (None,), ("Began in March, not May.",), ("replace cat with dog.",), ("between 2010 and 2015 move it to section 3",)], "t string"), "t").collect()
+    assert tuple(r[0]["replace_pair"]) == ("old name", "new name") and tuple(r[0]["numeric_correction"]) == ("384", "396")
+    assert (r[0]["table_refs"], r[0]["figure_refs"], r[0]["section_refs"], r[0]["page_refs"]) == (["Table 4"], ["Figure A1"], ["2.1"], [7])
+    assert (r[0]["min_count"], r[0]["since_year"], r[0]["phrases"]) == (3, 2019, ["old name", "new name"])
+    assert r[1]["replace_pair"] is None and r[1]["numbers"] == []
+    assert tuple(r[2]["replace_pair"]) == ("May", "March") and r[2]["numeric_correction"] is None
+    assert tuple(r[3]["replace_pair"]) == ("cat", "dog")
+    assert (r[4]["since_year"], r[4]["until_year"], r[4]["destination_section"]) == (2010, 2015, "3")
+
+
+def test_split():
+    assert Q.split_request("Please define the scale and explain the sampling. Also fine.") == ["Define the scale", "Explain the sampling"]
+    assert Q.split_request("Discuss validity and reliability.") == []
+    assert Q.split_request("Explain and justify the choice.") == ["Explain the choice", "Justify the choice"]
+    assert Q.split_request("Please (1) add a table; (2) remove the figure") == ["Add a table", "Remove the figure"]
+    assert len(Q.split_request(", ".join(["add x"] * 20))) == 8 and Q.split_request("") == []
+    assert Q.concept_groups("Discuss validity and reliability") == ["validity", "reliability"]
+    assert Q.split_request("add " * 50_000) == []
+
+
+def test_guard(spark):
+    p = [("P", "original", 1, "It may rise 12.50% to 1,000."), ("P", "revised", 1, "It will rise 12.5% to 1000 or 7."), ("Q", "original", 1, "Same."), ("Q", "revised", 1, "Same."), ("R", "original", 1, "Keep this phrase."), ("R", "revised", 1, "KEEP  this phrase now.")]
+    blocks = G.document_blocks(spark.createDataFrame(p, "pair_id string, side string, number int, text string"))
+    got = {(r["pair_id"], r["status"], r["item"], r["before"], r["after"]) for r in G.guard_report(blocks, ["keep this"]).filter("status <> 'INVALID_PROTECTION'").collect()}
+    assert got == {("P", "NUMBERS_CHANGED", None, 0, 1), ("P", "HEDGE_REMOVED", "may", 1, 0), ("Q", "UNCHANGED", None, 0, 0), ("R", "PROTECTED_INTACT", "keep this", 1, 1), ("R", "NEEDS_REVIEW", None, 0, 0)}
+    with pytest.raises(ValueError):
+        G.protected_counts(blocks, [" "])
+
+
+def test_threads(spark):
+    rows = [("P", "a", None), ("P", "b", "a"), ("P", "c", "b"), ("P", "x", "y"), ("P", "y", "x"), ("P", "w", "x"), ("P", "lost", "nowhere"), ("Q", "b", "a")] + [("D", f"{k:04d}", f"{k - 1:04d}") for k in range(200)]
+    got = {(r[0], r[1]): r[2] for r in H.thread_roots(spark.createDataFrame(rows, "pair_id string, id string, parent_id string")).collect()}
+    assert [got["P", k] for k in "abcxyw"] == ["a", "a", "a", "x", "x", "x"] and got["P", "lost"] == "lost" and got["Q", "b"] == "b"
+    assert {got["D", f"{k:04d}"] for k in range(200)} == {"0000"}
+
+
+def test_carried_headings(spark):
+    rows = [(0, "heading", "Major concerns"), (1, "item", "a"), (2, "heading", "Reviewer 2"), (3, "item", "b"), (4, "heading", "Minor points"), (5, "item", "c")]
+    df = spark.createDataFrame([("r", *x) for x in rows], "report_id string, ord int, kind string, text string")
+    got = {r["text"]: (r["reviewer"], r["severity"]) for r in H.carry_headings(df).filter("kind = 'item'").collect()}
+    assert got == {"a": ("", "major"), "b": ("Reviewer 2", None), "c": ("Reviewer 2", "minor")}
+
+
+def test_find_texts(spark):
+    p = [("P", k, t) for k, t in enumerate(["the quick brown fox jumps", "a quick brown dog", "brown", ""], 1)]
+    df = spark.createDataFrame(p, "pair_id string, number int, text string").select("*", T.normalize(F.col("text")).alias("norm"), T.tokens(F.col("text")).alias("words"))
+    needles = [("P", "1", "ick brown fo"), ("P", "2", "brown"), ("P", "3", "quick brown cat jumps"), ("P", "4", ""), ("Q", "5", "brown"), ("P", "6", "he quick brown fox j")]
+    n = spark.createDataFrame(needles, "pair_id string, needle_id string, norm string")
+    got = {(r["needle_id"], r["number"]) for r in L.find_texts(n, df).collect()}
+    assert got == {("1", 1), ("2", 1), ("2", 2), ("2", 3), ("6", 1)}
+    fuzzy = L.fuzzy_texts(n.withColumn("raw", F.col("norm")), df, 0.6).collect()
+    assert {(r["needle_id"], r["number"]) for r in fuzzy} == {("2", 3), ("3", 1)} | {(r["needle_id"], r["number"]) for r in fuzzy if r["needle_id"] in ("1", "6")}
+
+
+def test_rollups(spark):
+    rows = [("P", "a", "RESOLVED", "HIGH"), ("P", "a", "UNRESOLVED", "LOW"), ("P", "b", "RESOLVED", "LOW"), ("P", "c", "NOT_ASSESSABLE", "LOW"), ("P", "d", "ERROR", "LOW"), ("P", "d", "RESOLVED", "HIGH"), ("P", "e", "UNRESOLVED", "HIGH")]
+    got = {r["issue_id"]: (r["status"], r["confidence"], r["needs_person"]) for r in U.roll_up_parts(spark.createDataFrame(rows, "pair_id string, issue_id string, status string, confidence string")).collect()}
+    assert got == {"a": ("PARTIALLY_RESOLVED", "LOW", True), "b": ("NEEDS_REVIEW", "LOW", True), "c": ("NOT_ASSESSABLE", "LOW", True), "d": ("ERROR", "LOW", True), "e": ("UNRESOLVED", "HIGH", False)}
+    f = spark.createDataFrame([("P", s, "EXPLAIN") for s in ("RESOLVED", "UNRESOLVED", "NEEDS_REVIEW", "NEEDS_REVIEW", "NOT_ASSESSABLE", "ERROR")], "pair_id string, status string, category string")
+    c = U.coverage(f).first()
+    assert (c["items"], c["decided"], c["share"]) == (6, 2, 33.3) and c["reasons"] == {"needs_review": 2, "not_assessable_explain": 1, "error": 1}
+    assert c["sentence"] == "decided 2 of 6 comments; 4 could not be checked (needs_review 2, error 1, not_assessable_explain 1)"
+    fs = spark.createDataFrame([("P", "a", "NEEDS_REVIEW", "LOW", 2), ("P", "b", "RESOLVED", "HIGH", 1), ("P", "c", "NEEDS_REVIEW", "LOW", 1), ("P", "d", "NOT_ASSESSABLE", "LOW", 0)], "pair_id string, issue_id string, status string, confidence string, n_evidence int")
+    said = spark.createDataFrame([("P", "a", "RESOLVED", "HIGH", [1]), ("P", "b", "UNRESOLVED", "HIGH", [1]), ("P", "c", "RESOLVED", "HIGH", [9]), ("P", "d", "RESOLVED", "HIGH", [1])], "pair_id string, issue_id string, verdict string, verdict_confidence string, refs array<int>")
+    m = {r["issue_id"]: (r["status"], r["confidence"]) for r in U.merge_assessments(fs, said).collect()}
+    assert m == {"a": ("RESOLVED", "MEDIUM"), "b": ("RESOLVED", "HIGH"), "c": ("NEEDS_REVIEW", "MEDIUM"), "d": ("NOT_ASSESSABLE", "LOW")}
+
+
+def test_sinks(spark, tmp_path):
+    issues = spark.createDataFrame([("P", 1, "RT-001", "=Ann", "quote | me", "unlocated"), ("P", 2, "RT-002", "Bob", "", "Section 2"), ("P", 3, "RT-003", "Bob", None, "unlocated")], "pair_id string, issue_no int, issue_id string, reviewer string, anchor_text string, place string")
+    e = [("CONTEXT", "c"), *[("SUPPORTS", f"s{k}") for k in range(6)]]
+    schema = "pair_id string, issue_id string, sub_no int, text string, category string, action string, status string, confidence string, evidence array<struct<direction:string,explanation:string>>, labels array<string>, remaining string, resolved_flag boolean, document_changed boolean, source string, method string, needs_person boolean"
+    f = spark.createDataFrame([("P", "RT-001", 0, "Fix [it]", "ADD", "Fix", "RESOLVED", "HIGH", e, ["a", "a", "unlocated", "b"], None, None, True, "deterministic", "m", False), ("P", "RT-002", 0, "More", "ADD", "", "NEEDS_REVIEW", "LOW", e[:1], None, "do it", False, None, "deterministic", "m", True)], schema)
+    m = K.build_matrix(issues, f).cache()
+    rows = {r["id"]: r for r in m.collect()}
+    assert set(rows) == {"RT-001", "RT-002"}
+    assert rows["RT-001"]["evidence"] == "+ s0\n+ s1\n+ s2\n+ s3\n(+2 more)" and rows["RT-002"]["evidence"] == "· c"
+    assert (rows["RT-001"]["revised_location"], rows["RT-001"]["anchored_context"], rows["RT-002"]["anchored_context"]) == ("a; b", '"quote | me"', "Section 2")
+    assert (rows["RT-001"]["reviewer_marked_resolved"], rows["RT-002"]["document_changed"], rows["RT-002"]["status"]) == ("n/a", "unknown", "Needs review")
+    assert {r["Reviewer"] for r in K.csv_matrix(m).collect()} == {"'=Ann", "Bob"}
+    K.write_csv(m, str(tmp_path / "out"))
+    assert spark.read.csv(str(tmp_path / "out"), header=True, multiLine=True, escape='"').count() == 2
+    letter = {r["issue_no"]: r for r in K.response_letter(m).collect()}
+    assert "Addressed." in letter[1]["block"] and not letter[1]["caveat"] and letter[2]["caveat"] and "## Bob" in letter[2]["block"] and "Fix \\[it\\]" in letter[1]["block"]
+    assert "### RT-001 — Resolved (confidence: HIGH)" in {r["issue_no"]: r["section"] for r in K.finding_sections(m).collect()}[1]
+    assert "\\|" in K.markdown_matrix(m).filter("issue_no = 1").first()["line"] and '"id":"RT-001"' in K.json_matrix(m).filter("issue_no = 1").first()["json"]
+    assert "RT-001" in K.show(m.select("id", "status"))
+    row = {"id": "RT-001", "reviewer": "Ann", "date": None, "comment_text": "a\nb", "anchor_text": "", "section": None, "paragraph_start": 3, "paragraph_end": None, "table_index": 0, "category": "ADD", "severity": None, "source_id": None, "parts": [], "word_comment_resolved": False}
+    from quirewise.sources.reports import parse_issues_yaml
+
+    assert parse_issues_yaml(K.issues_yaml([row]))[0][4:11] == ("a\nb", "", "", None, 3, None, 0)
