@@ -64,3 +64,33 @@ def tracked_evidence(requests: DataFrame, targets: DataFrame, tracked: DataFrame
     t = tracked.filter("kind = 'insertion'").select("pair_id", "section_id", "ord", "text", T.stems_in(F.col("text")).alias("stems"))
     hit = x.join(t, ["pair_id", "section_id"]).filter(F.arrays_overlap("terms", "stems"))
     return hit.withColumn("n", F.row_number().over(Window.partitionBy("pair_id", "issue_id").orderBy("ord"))).filter(F.col("n") <= most).select("pair_id", "issue_id", "n", "ord", "text")
+
+
+def elsewhere(requests: DataFrame, units: DataFrame, targets: DataFrame) -> DataFrame:
+    """pair_id, issue_id: located requests whose terms all stand in one piece of new text outside their section.
+
+    `units` has pair_id, section_id, unit. Requests meet pieces through their first term.
+    """
+    x = requests.filter(F.size("terms") > 0).join(targets.select("pair_id", "issue_id", F.col("section_id").alias("home")), ["pair_id", "issue_id"]).select("pair_id", "issue_id", "terms", "home", F.element_at("terms", 1).alias("stem"))
+    u = units.select("pair_id", "section_id", T.stems_in(F.col("unit")).alias("stems")).withColumn("stem", F.explode("stems"))
+    hit = x.join(u, ["pair_id", "stem"]).filter(~F.col("home").eqNullSafe(F.col("section_id")) & (F.size(F.array_except("terms", "stems")) == 0))
+    return hit.select("pair_id", "issue_id").distinct()
+
+
+def duplicate_groups(paragraphs: DataFrame) -> DataFrame:
+    """pair_id, norm_id, before, after: texts that stand twice or more in the original, with how often in the revision.
+
+    Texts are compared in normalised form; norm_id is its digest. Counts have a partial
+    stage, so a text that fills a third of a corpus is no burden.
+    """
+    n = T.normalize(F.col("text"))
+    at = lambda s: F.count_if(F.col("side") == s)
+    return paragraphs.filter(n != "").groupBy("pair_id", F.sha2(n, 256).alias("norm_id")).agg(at("original").alias("before"), at("revised").alias("after")).filter("before >= 2")
+
+
+def changed_flags(described: DataFrame, tables: DataFrame | None = None) -> DataFrame:
+    """pair_id, any_change: whether anything changed in a pair."""
+    out = described.groupBy("pair_id").agg(F.bool_or(F.col("kind") != "unchanged").alias("c"))
+    if tables is not None:
+        out = out.unionByName(tables.groupBy("pair_id").agg(F.bool_or(F.col("kind") != "unchanged").alias("c"))).groupBy("pair_id").agg(F.bool_or("c").alias("c"))
+    return out.withColumnRenamed("c", "any_change")

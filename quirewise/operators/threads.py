@@ -45,11 +45,21 @@ def anchor_context(anchors: DataFrame, paragraphs: DataFrame, reach: int = 2) ->
     return x.groupBy("pair_id", "id").agg(text("before"), text("after"))
 
 
-def number_issues(comments: DataFrame) -> DataFrame:
-    """pair_id, id, issue_id: RT-001 and so on, by place and numeric id (W6); what has no place or number comes last."""
+def number_issues(comments: DataFrame, span: int = 256) -> DataFrame:
+    """pair_id, id, issue_id: RT-001 and so on, by place and numeric id (W6); what has no place or number comes last.
+
+    Rows are numbered within ranges of `span` places (or ids, where there is no place) and
+    shifted by the counts of the ranges before, so a large pair is no single task.
+    """
     far = F.lit(10**9)
-    order = Window.partitionBy("pair_id").orderBy(F.coalesce("paragraph_start", far), F.coalesce(F.col("id").try_cast("int"), far), "id")
-    return comments.select("pair_id", "id", F.format_string("RT-%03d", F.row_number().over(order)).alias("issue_id"))
+    place, number = F.coalesce("paragraph_start", far), F.coalesce(F.col("id").try_cast("int"), far)
+    part = F.struct(F.floor(place / span).alias("p"), F.when(place == far, F.floor(number / span)).otherwise(0).alias("q"))
+    x = comments.select("pair_id", "id", place.alias("place"), number.alias("number"), part.alias("part"))
+    counts = x.groupBy("pair_id", "part").agg(F.count(F.lit(1)).alias("n"))
+    earlier = Window.partitionBy("pair_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    shift = counts.select("pair_id", "part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("shift"))
+    k = F.row_number().over(Window.partitionBy("pair_id", "part").orderBy("place", "number", "id"))
+    return x.withColumn("k", k).join(shift, ["pair_id", "part"]).select("pair_id", "id", F.format_string("RT-%03d", F.col("k") + F.col("shift")).alias("issue_id"))
 
 
 def carry_headings(blocks: DataFrame) -> DataFrame:

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirewise.functions import text as T
+from quirewise.operators import facts as A
 from quirewise.operators import requests as Q
+from quirewise.plans.texts import _norm
 from quirewise.session import cut
 from quirewise.sources.tables import records
 
@@ -49,5 +51,20 @@ def prose_requests(spark: SparkSession, folder: str) -> DataFrame:
     return s.groupBy("doc_id").agg(F.count_if(Q.looks_like_request(F.col("s"))).alias("requests"), F.count_if(~Q.looks_like_request(F.col("s"))).alias("ignored"))
 
 
-QUERIES = {f.__name__: f for f in (request_classification, request_parse, compound_split, concept_labels, prose_requests)}
-SQL: dict[str, str] = {}
+def similar_issues(spark: SparkSession, folder: str) -> DataFrame:
+    """J9."""
+    return Q.similar_issues(_issues(spark, folder))
+
+
+def duplicate_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """A17."""
+    return A.duplicate_groups(records(spark, folder, "paragraphs", "pair_id", "side", "text"))
+
+
+QUERIES = {f.__name__: f for f in (similar_issues, duplicate_groups, request_classification, request_parse, compound_split, concept_labels, prose_requests)}
+
+SQL: dict[str, str] = {
+    "duplicate_groups": f"""
+WITH p AS (SELECT DISTINCT para_id, pair_id, side, {_norm("text")} AS n FROM paragraphs)
+SELECT pair_id, sha256(n) AS norm_id, count(*) FILTER (side = 'original') AS before, count(*) FILTER (side = 'revised') AS after FROM p WHERE n <> '' GROUP BY pair_id, n HAVING count(*) FILTER (side = 'original') >= 2""",
+}

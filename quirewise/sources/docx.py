@@ -379,7 +379,7 @@ ENTITIES = {
 }
 
 
-def read_docx(spark: SparkSession, path: str, comments: bool = True, numbered_headings: bool = True) -> DataFrame:
+def read_docx(spark: SparkSession, path: str | list[str], comments: bool = True, numbered_headings: bool = True) -> DataFrame:
     """path, entity, ord, payload of all .docx files under a path; a file that cannot be read gives one row of entity `error`.
 
     Without comments their parts are not even parsed. Use `entity` for typed tables.

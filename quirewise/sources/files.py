@@ -46,7 +46,7 @@ def safe_write(path: str, text: str, inputs: tuple[str, ...] = ()) -> None:
     p.write_text(text, encoding="utf-8")
 
 
-def read_binary(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+def read_binary(spark: SparkSession, path: str | list[str], pattern: str = "*") -> DataFrame:
     """path, length, content of the files under a path."""
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path).select("path", "length", "content")
 
