@@ -155,7 +155,7 @@ def compare_tables(cells: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataF
 def describe_table_change() -> Column:
     """In words: what changed in a table, from the columns of the summary."""
     part = lambda c, what: F.when(F.col(c) > 0, F.concat(F.col(c).cast("string"), F.lit(f" {what}")))
-    said = F.concat_ws(", ", part("rows_added", "row(s) added"), part("rows_removed", "row(s) removed"), part("columns_added", "column(s) added"), part("columns_removed", "column(s) removed"), part("cells_changed", "cell(s) changed"))
+    said = F.concat_ws(", ", part("rows_added", "rows more"), part("rows_removed", "rows less"), part("columns_added", "columns more"), part("columns_removed", "columns less"), part("cells_changed", "cells changed"))
     return F.when(said == "", F.col("kind")).otherwise(said)
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quirewise.functions import text as T
 from quirewise.operators import guard as G
 from quirewise.operators import tables as B
+from quirewise.plans.texts import _norm
 from quirewise.session import cut
 from quirewise.sources.tables import records
 
@@ -135,6 +136,23 @@ report AS (SELECT * FROM found UNION ALL SELECT pair_id, CASE WHEN d = 0 THEN 'U
 """
 
 SQL = {
+    "table_cell_changes": f"""
+WITH c AS (SELECT DISTINCT pair_id, side, table_index AS t, "row" AS r, col AS k, coalesce(text, '') AS x, {_norm("coalesce(text, '')")} AS n FROM cells),
+b AS (SELECT pair_id, t FROM c GROUP BY ALL HAVING count(DISTINCT side) = 2),
+h AS (SELECT pair_id, side, t, n, max(k) AS k FROM c WHERE r = 0 AND n <> '' GROUP BY ALL),
+f AS (SELECT pair_id, t, max(k + 1) FILTER (side = 'original' AND r = 0) AS ow, max(k + 1) FILTER (side = 'revised' AND r = 0) AS rw,
+  count(DISTINCT n) FILTER (side = 'original' AND r = 0 AND n <> '') AS onames, count(DISTINCT n) FILTER (side = 'revised' AND r = 0 AND n <> '') AS rnames FROM c SEMI JOIN b USING (pair_id, t) GROUP BY ALL),
+w AS (SELECT pair_id, side, t, r, coalesce(max(n) FILTER (k = 0), '') AS key FROM c WHERE r > 0 GROUP BY ALL),
+g AS (SELECT pair_id, t, bool_and(ok) AS keyed FROM (SELECT pair_id, side, t, count(*) = count(DISTINCT key) AND min(length(key)) > 0 AS ok FROM w GROUP BY ALL) GROUP BY ALL),
+m AS (SELECT f.*, onames > 0 AND rnames > 0 AND onames >= greatest(1, ow - 1) AS named, coalesce(keyed, true) AS keyed FROM f LEFT JOIN g USING (pair_id, t)),
+cm AS (SELECT m.pair_id, m.t, a.k AS oc, z.k AS rc FROM m JOIN h a ON a.pair_id = m.pair_id AND a.t = m.t AND a.side = 'original' JOIN h z ON z.pair_id = m.pair_id AND z.t = m.t AND z.side = 'revised' AND z.n = a.n WHERE named
+  UNION ALL SELECT pair_id, t, i, i FROM (SELECT pair_id, t, unnest(range(0, least(ow, rw))) AS i FROM m WHERE NOT named)),
+rm AS (SELECT m.pair_id, m.t, a.r AS orow, z.r AS rrow FROM m JOIN w a ON a.pair_id = m.pair_id AND a.t = m.t AND a.side = 'original' JOIN w z ON z.pair_id = m.pair_id AND z.t = m.t AND z.side = 'revised' AND (CASE WHEN keyed THEN z.key = a.key ELSE z.r = a.r END)
+  UNION ALL SELECT pair_id, t, 0, 0 FROM m),
+q AS (SELECT rm.pair_id, rm.t, orow, oc, coalesce(a.x, '') AS original, coalesce(z.x, '') AS revised, coalesce(a.n, '') AS n1, coalesce(z.n, '') AS n2 FROM rm JOIN cm USING (pair_id, t)
+  LEFT JOIN c a ON a.pair_id = rm.pair_id AND a.t = rm.t AND a.side = 'original' AND a.r = orow AND a.k = oc LEFT JOIN c z ON z.pair_id = rm.pair_id AND z.t = rm.t AND z.side = 'revised' AND z.r = rrow AND z.k = rc)
+SELECT q.pair_id, q.t AS original_index, q.t AS revised_index, orow AS "row", CAST(oc AS INTEGER) AS col, coalesce(CASE WHEN l.n <> '' THEN l.x END, 'row ' || (orow + 1)) AS row_label, coalesce(d.x, 'column ' || (oc + 1)) AS col_label, original, revised
+FROM q LEFT JOIN c l ON l.pair_id = q.pair_id AND l.t = q.t AND l.side = 'original' AND l.r = orow AND l.k = 0 LEFT JOIN c d ON d.pair_id = q.pair_id AND d.t = q.t AND d.side = 'original' AND d.r = 0 AND d.k = oc WHERE n1 <> n2""",
     "number_multiset_diff": f"WITH {_BLOCKS}, {_NUMBERS} SELECT pair_id, number, before, after FROM num WHERE before <> after",
     "lexicon_count_drop": f"WITH {_BLOCKS}, {_lexicon()} SELECT pair_id, word, before, after FROM lex WHERE before > after",
     "protected_phrase_counts": f"WITH {_BLOCKS}, {_protected()} SELECT *, {_STATUS} AS status FROM prot",

@@ -103,8 +103,8 @@ def response_letter(matrix: DataFrame) -> DataFrame:
     several = matrix.groupBy("pair_id").agg((F.count_distinct(F.when(F.col("reviewer") != "", F.col("reviewer"))) > 1).alias("several"))
     x = matrix.filter("sub_no = 0").withColumn("before", F.lag("reviewer").over(order)).join(several, "pair_id")
     heading = F.when(F.col("several") & ~F.col("reviewer").eqNullSafe(F.col("before")), F.concat(F.lit("## "), F.when(F.col("reviewer") == "", "Reviewer").otherwise(T.md_escape(F.col("reviewer")))))
-    answer = F.when(F.col("status") == "Resolved", "Addressed.").when(F.col("status") == "Partially resolved", "Partially addressed; further revision required.").when(F.col("status") == "Unresolved", "Further revision required.").otherwise("Further revision required: the author must confirm how this comment is addressed.")
-    rest = F.when((F.col("remaining_issue") != "") & (F.col("status") != "Resolved"), F.concat(F.lit("**Not yet done:** "), T.md_escape(F.col("remaining_issue"))))
+    answer = F.when(F.col("status") == "Resolved", "Addressed.").when(F.col("status") == "Partially resolved", "Addressed in part; more remains to be done.").when(F.col("status") == "Unresolved", "Not addressed yet.").otherwise("Open: the author has to say how this was handled.")
+    rest = F.when((F.col("remaining_issue") != "") & (F.col("status") != "Resolved"), F.concat(F.lit("**Left to do:** "), T.md_escape(F.col("remaining_issue"))))
     block = F.concat_ws("\n\n", heading, F.concat(F.lit("### Comment "), F.col("issue_no").cast("string")), F.concat(F.lit("<!-- "), "id", F.lit(" -->")), T.md_escape(F.col("comment")), F.concat(F.lit("**Response:** "), answer), rest)
     return x.select("pair_id", "issue_no", block.alias("block"), ((F.col("status") != "Resolved") | (F.col("needs_human_review") != "no")).alias("caveat"))
 
