@@ -20,6 +20,8 @@ BLOCK = 2048
 FLAT = 64
 #: Points in a leaf of the R-tree.
 LEAF = 32
+#: Most rows of a table of large blocks that is broadcast; beyond, it is joined by shuffle.
+MOST_BROADCAST = 100_000
 
 
 def words(text: Column) -> Column:
@@ -33,6 +35,22 @@ def shingles(tokens: Column, k: int) -> Column:
     return F.when(F.size(tokens) >= k, F.array_sort(F.array_distinct(run))).otherwise(F.expr("cast(array() as array<bigint>)"))
 
 
+def _packed(v: np.ndarray) -> bytes:
+    """A count vector in one byte a group, or in eight where a count needs more."""
+    return v.astype(np.uint8).tobytes() if v.max(initial=0) < 256 else v.astype(np.int64).tobytes()
+
+
+def _unpacked(column: pd.Series) -> np.ndarray:
+    """The count vectors of a column of _packed, one row each."""
+    out = np.zeros((len(column), GROUPS), np.int32)
+    wide = column.map(len).to_numpy() != GROUPS
+    if not wide.all():
+        out[~wide] = np.frombuffer(b"".join(column[~wide]), dtype=np.uint8).reshape(-1, GROUPS)
+    if wide.any():
+        out[wide] = np.frombuffer(b"".join(column[wide]), dtype=np.int64).reshape(-1, GROUPS)
+    return out
+
+
 def _tree(points: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Bulk-load: order of the points, starts of leaves, upper corners, least size per leaf.
 
@@ -77,7 +95,7 @@ def _candidates(num: int, den: int, flat: int):
         ids = pdf["cls"].to_numpy()
         n, pos = pdf["n"].to_numpy().astype(np.int64), pdf["pos"].to_numpy().astype(np.int64)
         part = pdf["part"].to_numpy()
-        vec = np.frombuffer(b"".join(pdf["vec"]), dtype=np.uint16).reshape(-1, GROUPS)
+        vec = _unpacked(pdf["vec"])
         first = np.r_[True, (pdf["tok"].to_numpy()[1:] != pdf["tok"].to_numpy()[:-1]) | (pdf["i"].to_numpy()[1:] != pdf["i"].to_numpy()[:-1]) | (pdf["j"].to_numpy()[1:] != pdf["j"].to_numpy()[:-1])]
         block = np.cumsum(first) - 1
         size = np.bincount(block)
@@ -94,7 +112,7 @@ def _candidates(num: int, den: int, flat: int):
             rest = 1 + np.minimum(n[a] - pos[a], n[b] - pos[b]) + np.minimum(pos[a], pos[b])
             ok = (np.minimum(n[a], n[b]) * den >= num * np.maximum(n[a], n[b])) & _meets(rest, n[a], n[b], num, den)
             a, b = a[ok], b[ok]
-            ok = _meets(np.minimum(vec[a], vec[b]).sum(1, dtype=np.int64), n[a], n[b], num, den) | (np.minimum(n[a], n[b]) > 60_000)
+            ok = _meets(np.minimum(vec[a], vec[b]).sum(1, dtype=np.int64), n[a], n[b], num, den)
             left.append(a[ok])
             right.append(b[ok])
         starts = np.flatnonzero(first)
@@ -112,10 +130,6 @@ def _candidates(num: int, den: int, flat: int):
             ok = (a != b) & (np.minimum(n[a], n[b]) * den >= num * np.maximum(n[a], n[b]))
             left.append(a[ok])
             right.append(b[ok])
-            huge = rows[n[rows] > 60_000]
-            if len(huge) > 1:
-                left.append(np.repeat(huge, len(huge)))
-                right.append(np.tile(huge, len(huge)))
         a, b = (np.concatenate(x) if x else np.zeros(0, int) for x in (left, right))
         out = pd.DataFrame({"a": ids[a], "b": ids[b]})
         swap = out["a"] > out["b"]
@@ -141,8 +155,8 @@ def near_copies(df: DataFrame, ident: str, text: str, k: int = 5, num: int = 4,
     """Members (ident, cls) and links (a, b): records by class of equal shingle sets, and pairs of classes at least num/den similar.
 
     Similarity is the number of distinct runs of k words in both divided by the
-    number in either. Records with fewer than `least_words` or k words, and null texts,
-    have no shingles and are not members. Repeated texts fall in one class, so a third
+    number in either. Records with fewer than `least_words` or k words, null texts and
+    null ids have no shingles and are not members. Repeated texts fall in one class, so a third
     of all rows being copies makes one class, not pairs; links hold between different
     classes only, a < b. Other columns are ignored.
 
@@ -152,7 +166,7 @@ def near_copies(df: DataFrame, ident: str, text: str, k: int = 5, num: int = 4,
     counts bound the overlap (summed coordinate minima); survivors are verified exactly.
     Blocks above BLOCK rows are split into pairs of parts.
     """
-    toks = df.select(F.col(ident).alias("id"), words(F.col(text)).alias("w")).filter(F.size("w") >= max(least_words, k))
+    toks = df.select(F.col(ident).alias("id"), words(F.col(text)).alias("w")).filter("id is not null").filter(F.size("w") >= max(least_words, k))
     sets = toks.select("id", shingles(F.col("w"), k).alias("sh"))
     sets = sets.select("id", "sh", F.unhex(F.md5(F.array_join(F.transform("sh", lambda x: x.cast("string")), ","))).alias("cls"))
     members = sets.select(F.col("id").alias(ident), "cls")
@@ -171,17 +185,21 @@ def near_copies(df: DataFrame, ident: str, text: str, k: int = 5, num: int = 4,
             tok = np.concatenate([np.asarray(x, dtype=np.int64) for x in pdf["sh"]]) if len(pdf) else np.zeros(0, np.int64)
             owner = np.repeat(np.arange(len(pdf)), lengths)
             flatc = np.bincount(owner * GROUPS + (tok % GROUPS), minlength=len(pdf) * GROUPS)
-            vec = np.minimum(flatc, 65535).astype(np.uint16).reshape(len(pdf), GROUPS)
-            yield pdf[["cls", "n", "prefix", "alone"]].assign(vec=[v.tobytes() for v in vec])
+            vec = flatc.reshape(len(pdf), GROUPS)
+            yield pdf[["cls", "n", "prefix", "alone"]].assign(vec=[_packed(v) for v in vec])
 
     counts = counts.select("cls", "n", "sh", F.transform(F.slice("shared", F.lit(1), F.col("take")), lambda x: x["tok"]).alias("prefix"), "alone")
     rows = counts.mapInPandas(vectors, "cls binary, n int, prefix array<long>, alone int, vec binary")
     rows = cut(rows).select("cls", "n", "alone", "vec", F.posexplode("prefix").alias("p", "tok")).select("tok", "cls", "n", (F.col("p") + F.col("alone")).alias("pos"), "vec")
-    sizes = rows.groupBy("tok").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("tok", F.ceil(F.col("m") / BLOCK).cast("int").alias("parts"))
-    rows = rows.join(sizes, "tok").withColumn("part", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
-    rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("tok", F.least("part", "o").alias("i"), F.greatest("part", "o").alias("j"), "part", "cls", "n", "pos", "vec")
-    sorted_rows = rows.repartition("tok", "i", "j").sortWithinPartitions("tok", "i", "j")
-    met = sorted_rows.mapInPandas(_candidates(num, den, FLAT), "a binary, b binary").distinct()
+    # Blocks above BLOCK rows, at most one for every BLOCK rows there are, are told apart before anything moves.
+    large = cut(rows.groupBy("tok").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > BLOCK).select("tok", F.ceil(F.col("m") / BLOCK).cast("int").alias("parts")))
+    few = large.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
+    marked = rows.join(F.broadcast(large) if few else large, "tok", "left")
+    small = marked.filter("parts is null").select("tok", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("part"), "cls", "n", "pos", "vec")
+    split = marked.filter("parts is not null").withColumn("part", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
+    split = split.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("tok", F.least("part", "o").alias("i"), F.greatest("part", "o").alias("j"), "part", "cls", "n", "pos", "vec")
+    by_block = small.unionByName(split).repartition("tok", "i", "j").sortWithinPartitions("tok", "i", "j")
+    met = by_block.mapInPandas(_candidates(num, den, FLAT), "a binary, b binary").distinct()
     a = classes.select(F.col("cls").alias("a"), F.col("sh").alias("sa"))
     b = classes.select(F.col("cls").alias("b"), F.col("sh").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))

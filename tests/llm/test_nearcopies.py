@@ -28,16 +28,18 @@ def texts(seed, n=160):
     return out
 
 
+@pytest.mark.parametrize("broadcast", [100_000, 0])
 @pytest.mark.parametrize("k,num,den,block,flat", [(3, 1, 2, 2048, 64), (3, 1, 2, 8, 4), (5, 4, 5, 2048, 4), (2, 1, 5, 16, 2)])
-def test_links_against_brute_force(spark, monkeypatch, k, num, den, block, flat):
+def test_links_against_brute_force(spark, monkeypatch, k, num, den, block, flat, broadcast):
     monkeypatch.setattr(nearcopies, "BLOCK", block)
     monkeypatch.setattr(nearcopies, "FLAT", flat)
+    monkeypatch.setattr(nearcopies, "MOST_BROADCAST", broadcast)
     rows = [(i, t, "clash") for i, t in enumerate(texts(k * 10 + den))]
-    rows += [(900, None, "x"), (901, "", "x"), (902, "too short", "x"), (903, rows[0][1].upper() + "!", "x")]
+    rows += [(900, None, "x"), (901, "", "x"), (902, "too short", "x"), (903, rows[0][1].upper() + "!", "x"), (None, rows[1][1], "x")]
     df = spark.createDataFrame(rows, "id long, text string, cls string")
     members, links = nearcopies.near_copies(df, "id", "text", k=k, num=num, den=den, least_words=8)
     cls = {r["id"]: bytes(r["cls"]) for r in members.collect()}
-    assert not {900, 901, 902} & set(cls) and cls[903] == cls[0]
+    assert not {900, 901, 902, None} & set(cls) and cls[903] == cls[0]
     got = {frozenset((bytes(r["a"]), bytes(r["b"]))) for r in links.collect()}
     by = {i: t for i, t, _ in rows if i in cls}
     want = set()
@@ -68,6 +70,14 @@ def test_long_text(spark):
     assert links.count() == 1
 
 
+def test_vectors_of_any_count():
+    import pandas as pd
+
+    v = np.random.default_rng(1).integers(0, 255, (6, nearcopies.GROUPS))
+    v[2, 3], v[4, 0] = 256, 10**6
+    assert (nearcopies._unpacked(pd.Series([nearcopies._packed(x) for x in v])) == v).all()
+
+
 def test_tree_finds_what_the_bound_allows():
     rng = np.random.default_rng(3)
     v = rng.poisson(1.0, (300, nearcopies.GROUPS)).astype(np.uint16)
