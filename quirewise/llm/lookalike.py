@@ -111,7 +111,7 @@ TIERS = ((48, 24, 25), (16, 8, 9), (4, 3, 2), (1, 1, 1))
 
 
 def _prints(df: DataFrame, ident: str, text: str) -> DataFrame:
-    """ident, grp, tier, fp of each (ident, grp, text, tiers): the fingerprints in the wanted tiers."""
+    """id, grp, odd, tier, fp of each (ident, grp, odd, text, tiers): the fingerprints in the wanted tiers."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -119,9 +119,9 @@ def _prints(df: DataFrame, ident: str, text: str) -> DataFrame:
                 own = pdf[pdf["tiers"].map(lambda t: tier in t)]
                 if len(own):
                     which, fp = winnowed(own["text"].tolist(), k, w)
-                    yield pd.DataFrame({"id": own["id"].to_numpy()[which], "grp": own["grp"].to_numpy()[which], "tier": tier, "fp": fp.view("int64")})
+                    yield pd.DataFrame({"id": own["id"].to_numpy()[which], "grp": own["grp"].to_numpy()[which], "odd": own["odd"].to_numpy()[which], "tier": tier, "fp": fp.view("int64")})
 
-    return df.select(F.col(ident).alias("id"), "grp", F.col(text).alias("text"), "tiers").mapInPandas(run, "id long, grp string, tier int, fp long")
+    return df.select(F.col(ident).alias("id"), "grp", "odd", F.col(text).alias("text"), "tiers").mapInPandas(run, "id long, grp string, odd boolean, tier int, fp long")
 
 
 def find_stretches(needles: DataFrame, texts: DataFrame) -> DataFrame:
@@ -138,25 +138,19 @@ def find_stretches(needles: DataFrame, texts: DataFrame) -> DataFrame:
     """
     length = F.length("form")
     tier = F.when(length >= TIERS[0][0], 0).when(length >= TIERS[1][0], 1).when(length >= TIERS[2][0], 2).otherwise(3)
-    n = needles.filter("form is not null and grp is not null").filter(length > 0).select("id", "grp", "raw", "form", (F.col("raw") != F.col("form")).alias("odd"), F.array(tier).alias("tiers"))
+    odd = F.col("raw") != F.col("form")
+    n = needles.filter("form is not null and grp is not null").filter(length > 0).select("id", "grp", F.when(odd, F.col("raw")).alias("raw"), "form", odd.alias("odd"), F.array(tier).alias("tiers"))
     wanted = n.groupBy("grp").agg(F.array_sort(F.collect_set(F.element_at("tiers", 1))).alias("tiers"))
-    t = texts.filter("form is not null and grp is not null").select("id", "grp", "raw", "form", (F.col("raw") != F.col("form")).alias("odd"))
+    t = texts.filter("form is not null and grp is not null").select("id", "grp", F.when(odd, F.col("raw")).alias("raw"), "form", odd.alias("odd"))
     text_prints = _prints(t.join(wanted, "grp"), "id", "form")
     counts = text_prints.groupBy("grp", "tier", "fp").agg(F.count(F.lit(1)).alias("n"))
-    needle_prints = _prints(n, "id", "form").withColumnRenamed("id", "needle_id")
-    rated = needle_prints.join(counts, ["grp", "tier", "fp"], "left").groupBy("needle_id", "grp", "tier").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "fp")).alias("x"))
-    chosen = rated.filter("x.n > 0").select("needle_id", "grp", "tier", F.col("x.fp").alias("fp"))
-    n_odd = n.select(F.col("id").alias("needle_id"), F.col("odd").alias("needle_odd"), F.col("raw").alias("needle_raw"), F.col("form").alias("needle_form"))
-    met = text_prints.withColumnRenamed("id", "text_id").join(chosen, ["grp", "tier", "fp"]).select("needle_id", "text_id")
-    return (
-        met.join(n.select(F.col("id").alias("needle_id"), F.col("odd").alias("needle_odd")), "needle_id")
-        .join(t.select(F.col("id").alias("text_id"), F.col("odd").alias("text_odd"), F.col("raw").alias("text_raw"), F.col("form").alias("text_form")), "text_id")
-        .filter("needle_odd or text_odd")
-        .drop("needle_odd")
-        .join(n_odd.drop("needle_odd"), "needle_id")
-        .filter(F.col("text_form").contains(F.col("needle_form")) & ~F.col("text_raw").contains(F.col("needle_raw")))
-        .select("needle_id", "text_id")
-    )
+    needle_prints = _prints(n, "id", "form")
+    rated = needle_prints.join(counts, ["grp", "tier", "fp"], "left").groupBy("id", "grp", "odd", "tier").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "fp")).alias("x"))
+    chosen = rated.filter("x.n > 0").select(F.col("id").alias("needle_id"), "grp", F.col("odd").alias("needle_odd"), "tier", F.col("x.fp").alias("fp"))
+    met = text_prints.withColumnRenamed("id", "text_id").join(chosen, ["grp", "tier", "fp"]).filter("odd or needle_odd").select("needle_id", "text_id")
+    side = lambda df, p: df.select(F.col("id").alias(f"{p}_id"), F.coalesce("raw", "form").alias(f"{p}_raw"), F.col("form").alias(f"{p}_form"))
+    found = met.join(side(t, "text"), "text_id").join(side(n, "needle"), "needle_id")
+    return found.filter(F.col("text_form").contains(F.col("needle_form")) & ~F.col("text_raw").contains(F.col("needle_raw"))).select("needle_id", "text_id")
 
 
 def same_look(left: DataFrame, right: DataFrame) -> DataFrame:
