@@ -203,6 +203,12 @@ def is_weak(form: str) -> bool:
     return form[0] == "p" and not form.split("|")[2]
 
 
+def _near_codes(code: str) -> set[str]:
+    """Codes of which a code within one edit shares one: with one sound left out; of long ones, both ends."""
+    ends = {f"^{code[:24]}", f"${code[-24:]}"} if len(code) > 60 else set()
+    return ends | ({code} | {code[:i] + code[i + 1 :] for i in range(len(code))} if len(code) <= 70 else set())
+
+
 def block_keys(form: str) -> list[str]:
     """Blocking keys: phonetic codes of sorted tokens, and of tokens with one sound left out.
 
@@ -217,7 +223,7 @@ def block_keys(form: str) -> list[str]:
     keys = set()
     for surname, given, initial, _ in readings(form):
         code = sound(surname)
-        codes = {code} | {code[:i] + code[i + 1 :] for i in range(len(code))}
+        codes = _near_codes(code)
         starts = {initial, canonical_given(given)[:1]} - {""} or {"?"}
         keys |= {f"p{s}:{c}" for c in codes for s in starts}
         if given:
@@ -234,7 +240,8 @@ def _slip(a: str, b: str) -> int | None:
     """0 for the same word, 1 for a typing slip, None for different words."""
     if a == b:
         return 0
-    if min(len(a), len(b)) >= 4 and jaro_winkler(a, b) >= LEAST_JARO_WINKLER and one_edit(a, b):
+    # One edit in a hundred letters or more is above any threshold, so only short words are scored.
+    if min(len(a), len(b)) >= 4 and one_edit(a, b) and (len(a) > 100 or jaro_winkler(a, b) >= LEAST_JARO_WINKLER):
         return 1
     return None
 

@@ -33,6 +33,19 @@ def test_empty_and_long(spark):
     assert names.name_entities(spark.createDataFrame([], "name string")).count() == 0
     long = spark.createDataFrame([("x" * 50_000,), ("Ann " * 5_000,)], "name string")
     assert names.name_entities(long).count() == 2
+    rng = __import__("random").Random(1)
+    base = "Ann " + "".join(rng.choices("bdfgklmnprstaeiou", k=40_000)).capitalize()
+    rows = [(base,), (base[:20_000] + "q" + base[20_000:],), (base[:-3] + "x" + base[-2:],), (base[:30] + base[31:],)]
+    assert names.name_pairs(names.name_entities(spark.createDataFrame(rows, "name string"))).count() == 6
+
+
+@pytest.mark.parametrize("n", [10, 59, 60, 61, 69, 70, 71, 90])
+def test_near_codes_meet(n):
+    rng = __import__("random").Random(n)
+    code = "".join(rng.choices("0123456789", k=n))
+    for i in range(n):
+        for other in (code[:i] + code[i + 1 :], code[:i] + "x" + code[i:], code[:i] + "x" + code[i + 1 :], code[:i] + code[i + 1 : i + 2] + code[i] + code[i + 2 :]):
+            assert names._near_codes(code) & names._near_codes(other)
 
 
 @pytest.mark.parametrize("a,b", [("glastotova", "glamtotova"), ("elizabeth", "elizbaeth"), ("kernygini", "kerngini"), ("marek", "mareek"), ("jostph", "joseph")])
