@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 DAY = 86_400_000_000
 FIRST_YEAR, LAST_YEAR = 1900, 2100
+#: Days between looks at a zone's clock; the shortest break in summer time on record is longer.
+STEP_DAYS = 25
 
 # Month names in English, German, French and Spanish, lower-cased; abbreviations are the first three letters.
 MONTHS = {
@@ -125,7 +127,7 @@ def _intervals_of(zone: str, first: int, last: int) -> list[tuple[int, int, int,
     end = int((datetime(last + 1, 1, 1, tzinfo=timezone.utc) - epoch).total_seconds()) + 2 * 86400
     out, since, now, t = [], begin, state(begin), begin
     while t < end:
-        nxt = min(t + 10 * 86400, end)
+        nxt = min(t + STEP_DAYS * 86400, end)
         new = state(nxt)
         if new != now:
             lo, hi = t, nxt
