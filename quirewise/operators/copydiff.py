@@ -7,16 +7,14 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quirewise.functions.text import BLANKS
+
 # Fixed value: a plain decimal number, thousands commas allowed.
 PLAIN_NUMBER = r"^[+-]?(?:\d{1,3}(?:,\d{3})+|\d+)(?:\.\d*)?$|^[+-]?\.\d+$"
 
-#: White space that counts as outer: every Unicode blank and the ASCII controls Python strips.
-_OUTER = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
-
-
 def trimmed(text: Column) -> Column:
     """Text without outer white space; null stays null."""
-    return F.regexp_replace(text, _OUTER, "")
+    return F.btrim(text, F.lit(BLANKS))
 
 
 def comparable_value(text: Column) -> Column:
@@ -31,8 +29,8 @@ def comparable_value(text: Column) -> Column:
     bare = F.regexp_replace(F.regexp_replace(t, ",", ""), r"^\+", "")
     negative = bare.startswith("-")
     digits = F.regexp_replace(bare, "^-", "")
-    whole = F.regexp_replace(F.regexp_extract(digits, r"^(\d*)", 1), "^0+", "")
-    part = F.regexp_replace(F.regexp_extract(digits, r"\.(\d*)$", 1), "0+$", "")
+    whole = F.ltrim(F.regexp_extract(digits, r"^(\d*)", 1), F.lit("0"))
+    part = F.rtrim(F.regexp_extract(digits, r"\.(\d*)$", 1), F.lit("0"))
     number = F.concat(
         F.when(negative & ((F.length(whole) > 0) | (F.length(part) > 0)), "-").otherwise(""),
         F.when(F.length(whole) == 0, "0").otherwise(whole),
@@ -113,9 +111,13 @@ def audit_table_copies(cells: DataFrame, log: DataFrame) -> DataFrame:
     log_missing, log_original, log_revised, log_extra. A cell that is absent, null or
     blank is empty. A table on one side only gives its rows, not its columns. Where a
     label stands twice in one table, or a log row twice, the smallest value counts.
-    Empty inputs give no rows.
+    Cells without a pair, side, table, row or column, and log rows without a pair or
+    table, take no part; sides other than `original` and `revised` neither. Other
+    columns are ignored. Empty inputs give no rows.
     """
     place = ["pair_id", "table_index"]
+    cells = cells.select(*place, "side", "row", "col", "text").filter("pair_id is not null and table_index is not null and row is not null and col is not null and side in ('original', 'revised')")
+    log = log.filter("pair_id is not null and table_index is not null")
     rows, cols, inner = labelled_cells(cells)
 
     def sides(df: DataFrame, *keys: str) -> DataFrame:

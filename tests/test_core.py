@@ -41,6 +41,12 @@ def test_audit(spark):
         (0, "x", "A", "value"), (0, "x", "A", "log_revised"), (0, "y", "A", "value"), (0, "y", "A", "log_missing"), (0, "y", "B", "log_extra"), (9, "q", "q", "log_extra"),
     }
     assert audit_table_copies(df.limit(0), lg.limit(0)).count() == 0
+    odd = [(None, "original", 0, 1, 1, "a"), ("P", None, 0, 1, 1, "a"), ("P", "other", 0, 9, 0, "a"), ("P", "original", None, 1, 1, "a"), ("P", "original", 0, None, 1, "a"), ("P", "original", 0, 1, None, "a")]
+    twice = df.unionByName(spark.createDataFrame(odd, df.schema)).unionByName(df).withColumn("kind", F.lit("clash"))
+    assert {tuple(r)[1:] for r in audit_table_copies(twice, lg.unionByName(spark.createDataFrame([(None, 0, "x", "A", "", ""), ("P", None, "x", "A", "", "")], lg.schema)).unionByName(lg)).collect()} == got
+    long = "9" * 200_000
+    wide = spark.createDataFrame(grid("original", 0, [["I", "A"], ["x", long]]) + grid("revised", 0, [["I", "A"], ["x", long + "0"]]), df.schema)
+    assert [r["kind"] for r in audit_table_copies(wide, lg.limit(0)).orderBy("kind").collect()] == ["log_missing", "value"]
 
 
 def one(spark, text, *columns):
