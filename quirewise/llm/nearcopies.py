@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quirewise.llm.components import connected_components
+from quirewise.llm.shingles import mix
 from quirewise.session import cut
 
 #: Groups into which shingles are hashed: the dimensions of the count vectors.
@@ -20,6 +21,8 @@ BLOCK = 2048
 FLAT = 64
 #: Points in a leaf of the R-tree.
 LEAF = 32
+#: Buckets in which shingles are counted to order them.
+BUCKETS = 1 << 20
 #: Most rows of a table of large blocks that is broadcast; beyond, it is joined by shuffle.
 MOST_BROADCAST = 100_000
 
@@ -51,6 +54,39 @@ def _unpacked(column: pd.Series) -> np.ndarray:
     return out
 
 
+def _bucket(tok: np.ndarray) -> np.ndarray:
+    return (mix(tok.view(np.uint64)) % np.uint64(BUCKETS)).astype(np.int64)
+
+
+def _bucket_counts(classes: DataFrame) -> np.ndarray:
+    """How many (class, shingle) rows fall in each of BUCKETS buckets of shingles, over all classes.
+
+    A table of fixed size, whatever the corpus: each task adds up its own rows, the sums
+    meet by bucket, and come to the driver as one block for each 4096 buckets. It orders
+    shingles from rare to frequent; any order gives the same result.
+    """
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(BUCKETS, np.int64)
+        for pdf in batches:
+            if len(pdf):
+                total += np.bincount(_bucket(np.concatenate([np.asarray(x, dtype=np.int64) for x in pdf["sh"]])), minlength=BUCKETS)
+        at = np.flatnonzero(total)
+        yield pd.DataFrame({"bucket": at.astype(np.int32), "n": total[at]})
+
+    def block(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        out = np.zeros(4096, np.int64)
+        out[pdf["bucket"].to_numpy() % 4096] = pdf["n"].to_numpy()
+        return pd.DataFrame({"part": [key[0]], "block": [out.tobytes()]})
+
+    sums = classes.select("sh").mapInPandas(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    blocks = sums.withColumn("part", F.floor(F.col("bucket") / 4096).cast("int")).groupBy("part").applyInPandas(block, "part int, block binary").collect()
+    table = np.zeros((-(-BUCKETS // 4096), 4096), np.int64)
+    for r in blocks:
+        table[r["part"]] = np.frombuffer(r["block"], np.int64)
+    return table.reshape(-1)
+
+
 def _tree(points: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Bulk-load: order of the points, starts of leaves, upper corners, least size per leaf.
 
@@ -160,9 +196,9 @@ def near_copies(df: DataFrame, ident: str, text: str, k: int = 5, num: int = 4,
     of all rows being copies makes one class, not pairs; links hold between different
     classes only, a < b. Other columns are ignored.
 
-    Shingles are ordered by how many classes hold them; two similar sets share a shingle
-    among the rarest few of each (the prefix), so classes meet in the blocks of their
-    prefix shingles. In a block, sizes, positions and an R-tree over vectors of group
+    Shingles are ordered by how many shingles of all classes fall in their bucket, so
+    rare ones come first; two similar sets share a shingle among the first few of each
+    (the prefix), so classes meet in the blocks of their prefix shingles. In a block, sizes, positions and an R-tree over vectors of group
     counts bound the overlap (summed coordinate minima); survivors are verified exactly.
     Blocks above BLOCK rows are split into pairs of parts.
     """
@@ -171,26 +207,23 @@ def near_copies(df: DataFrame, ident: str, text: str, k: int = 5, num: int = 4,
     sets = sets.select("id", "sh", F.unhex(F.md5(F.array_join(F.transform("sh", lambda x: x.cast("string")), ","))).alias("cls"))
     members = sets.select(F.col("id").alias(ident), "cls")
     classes = cut(sets.groupBy("cls").agg(F.min("sh").alias("sh")))
-    n = F.size("sh")
-    flat = classes.select("cls", F.explode("sh").alias("tok"))
-    common = flat.groupBy("tok").agg(F.count(F.lit(1)).alias("f")).filter("f > 1")
-    # Rank of each shared shingle within its class; shingles of one class only come first in the order and meet nobody.
-    ranked = flat.join(common, "tok").groupBy("cls").agg(F.array_sort(F.collect_list(F.struct("f", "tok"))).alias("shared"))
-    prefix = n - F.ceil(n * num / den).cast("int") + 1
-    counts = classes.join(ranked, "cls").select("cls", n.alias("n"), "sh", "shared", (prefix - (n - F.size("shared"))).alias("take"), (n - F.size("shared")).alias("alone")).filter("take > 0")
-
-    def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    weights = df.sparkSession.sparkContext.broadcast(_bucket_counts(classes))
+
+    def prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            lengths = pdf["sh"].map(len).to_numpy()
-            tok = np.concatenate([np.asarray(x, dtype=np.int64) for x in pdf["sh"]]) if len(pdf) else np.zeros(0, np.int64)
-            owner = np.repeat(np.arange(len(pdf)), lengths)
-            flatc = np.bincount(owner * GROUPS + (tok % GROUPS), minlength=len(pdf) * GROUPS)
-            vec = flatc.reshape(len(pdf), GROUPS)
-            yield pdf[["cls", "n", "prefix", "alone"]].assign(vec=[_packed(v) for v in vec])
-
-    counts = counts.select("cls", "n", "sh", F.transform(F.slice("shared", F.lit(1), F.col("take")), lambda x: x["tok"]).alias("prefix"), "alone")
-    rows = counts.mapInPandas(vectors, "cls binary, n int, prefix array<long>, alone int, vec binary")
-    rows = cut(rows).select("cls", "n", "alone", "vec", F.posexplode("prefix").alias("p", "tok")).select("tok", "cls", "n", (F.col("p") + F.col("alone")).alias("pos"), "vec")
+            n = pdf["sh"].map(len).to_numpy().astype(np.int64)
+            tok, owner = np.concatenate([np.asarray(x, dtype=np.int64) for x in pdf["sh"]]), np.repeat(np.arange(len(pdf)), n)
+            weight = weights.value[_bucket(tok)]
+            order = np.lexsort((tok, weight, owner))
+            pos = np.arange(len(tok)) - np.repeat(np.cumsum(n) - n, n)
+            # What no other class can hold meets nobody; it keeps its place.
+            keep = (pos < (n - -(-n * num // den) + 1)[owner]) & (weight[order] > 1)
+            at = np.searchsorted(owner[keep], np.arange(1, len(pdf)))
+            vec = np.bincount(owner * GROUPS + tok % GROUPS, minlength=len(pdf) * GROUPS).reshape(len(pdf), GROUPS)
+            yield pd.DataFrame({"cls": pdf["cls"], "n": n.astype(np.int32), "toks": np.split(tok[order][keep], at), "places": np.split(pos[keep].astype(np.int32), at), "vec": [_packed(v) for v in vec]})
+
+    compact = cut(classes.filter(F.size("sh") > 0).mapInPandas(prefixes, "cls binary, n int, toks array<long>, places array<int>, vec binary"))
+    rows = compact.select("cls", "n", "vec", F.inline(F.arrays_zip(F.col("toks").alias("tok"), F.col("places").alias("pos")))).select("tok", "cls", "n", "pos", "vec")
     # Blocks above BLOCK rows, at most one for every BLOCK rows there are, are told apart before anything moves.
     large = cut(rows.groupBy("tok").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > BLOCK).select("tok", F.ceil(F.col("m") / BLOCK).cast("int").alias("parts")))
     few = large.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
