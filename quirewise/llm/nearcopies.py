@@ -14,7 +14,7 @@ from quirewise.llm.shingles import mix
 from quirewise.session import cut
 
 #: Groups into which shingles are hashed: the dimensions of the count vectors.
-GROUPS = 32
+GROUPS = 64
 #: Rows of one block that one task compares; larger blocks are split into pairs of parts.
 BLOCK = 2048
 #: Blocks of up to so many rows are compared pair by pair, larger ones through the R-tree.
