@@ -7,11 +7,13 @@ import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quirewise.llm.shingles import winnowed
+from quirewise.session import cut
 
 # Letters of other scripts that look like a Latin letter.
 CONFUSABLE = dict(
@@ -110,18 +112,19 @@ def canonical(text: Column) -> Column:
 TIERS = ((48, 24, 25), (16, 8, 9), (4, 3, 2), (1, 1, 1))
 
 
-def _prints(df: DataFrame, ident: str, text: str) -> DataFrame:
-    """id, grp, odd, tier, fp of each (ident, grp, odd, text, tiers): the fingerprints in the wanted tiers."""
+def _prints(df: DataFrame) -> DataFrame:
+    """id, grp, odd, tier, fps of each (id, grp, odd, form, tiers): the fingerprints in the wanted tiers, one row a text and tier."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for tier, (_, k, w) in enumerate(TIERS):
                 own = pdf[pdf["tiers"].map(lambda t: tier in t)]
                 if len(own):
-                    which, fp = winnowed(own["text"].tolist(), k, w)
-                    yield pd.DataFrame({"id": own["id"].to_numpy()[which], "grp": own["grp"].to_numpy()[which], "odd": own["odd"].to_numpy()[which], "tier": tier, "fp": fp.view("int64")})
+                    which, fp = winnowed(own["form"].tolist(), k, w)
+                    fps = np.split(fp.view("int64"), np.searchsorted(which, np.arange(1, len(own))))
+                    yield own[["id", "grp", "odd"]].assign(tier=tier, fps=fps)
 
-    return df.select(F.col(ident).alias("id"), "grp", "odd", F.col(text).alias("text"), "tiers").mapInPandas(run, "id long, grp string, odd boolean, tier int, fp long")
+    return df.select("id", "grp", "odd", "form", "tiers").mapInPandas(run, "id long, grp string, odd boolean, tier int, fps array<long>")
 
 
 def find_stretches(needles: DataFrame, texts: DataFrame) -> DataFrame:
@@ -142,9 +145,10 @@ def find_stretches(needles: DataFrame, texts: DataFrame) -> DataFrame:
     n = needles.filter("form is not null and grp is not null").filter(length > 0).select("id", "grp", F.when(odd, F.col("raw")).alias("raw"), "form", odd.alias("odd"), F.array(tier).alias("tiers"))
     wanted = n.groupBy("grp").agg(F.array_sort(F.collect_set(F.element_at("tiers", 1))).alias("tiers"))
     t = texts.filter("form is not null and grp is not null").select("id", "grp", F.when(odd, F.col("raw")).alias("raw"), "form", odd.alias("odd"))
-    text_prints = _prints(t.join(wanted, "grp"), "id", "form")
+    each = lambda df: df.select("id", "grp", "odd", "tier", F.explode("fps").alias("fp"))
+    text_prints = each(cut(_prints(t.join(wanted, "grp"))))
     counts = text_prints.groupBy("grp", "tier", "fp").agg(F.count(F.lit(1)).alias("n"))
-    needle_prints = _prints(n, "id", "form")
+    needle_prints = each(_prints(n))
     rated = needle_prints.join(counts, ["grp", "tier", "fp"], "left").groupBy("id", "grp", "odd", "tier").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "fp")).alias("x"))
     chosen = rated.filter("x.n > 0").select(F.col("id").alias("needle_id"), "grp", F.col("odd").alias("needle_odd"), "tier", F.col("x.fp").alias("fp"))
     met = text_prints.withColumnRenamed("id", "text_id").join(chosen, ["grp", "tier", "fp"]).filter("odd or needle_odd").select("needle_id", "text_id")
