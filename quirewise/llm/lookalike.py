@@ -86,11 +86,29 @@ def _segment_plain(c: str) -> str:
     return unicodedata.normalize("NFC", t)
 
 
+_ODD = re.compile(r"[^\x20-\x7e]+")
+
+
+def _spliced(s: str) -> str:
+    return _unstable().sub(lambda m: _segment(m.group()), s)
+
+
+_spliced_short = lru_cache(maxsize=200_000)(_spliced)
+
+
 def look(text: str) -> str:
-    """The consistent form of a text: unstable segments are normalised and spliced into what is stable."""
-    if text.isascii() and text.isprintable():
-        return text
-    return _unstable().sub(lambda m: _segment(m.group()), text)
+    """The consistent form of a text: unstable segments are normalised and spliced into what is stable.
+
+    Printable ASCII is stable and composes with nothing before it, so runs of other
+    characters, each with the character before it, are looked at apart.
+    """
+    out, at = [], 0
+    for m in _ODD.finditer(text):
+        begin = max(at, m.start() - 1)
+        run = text[begin : m.end()]
+        out += (text[at:begin], _spliced_short(run) if len(run) <= 32 else _spliced(run))
+        at = m.end()
+    return "".join(out) + text[at:] if out else text
 
 
 def canonical(text: Column) -> Column:
