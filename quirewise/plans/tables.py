@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirewise.functions import text as T
 from quirewise.operators import guard as G
 from quirewise.operators import tables as B
 from quirewise.plans.texts import _norm
@@ -50,7 +49,7 @@ def table_changes(spark: SparkSession, folder: str) -> DataFrame:
 def _refs(spark: SparkSession, folder: str) -> DataFrame:
     """Paragraphs that cite a year in parentheses, taken as reference entries."""
     p = records(spark, folder, "paragraphs", "pair_id", "side", "number", "text").filter(F.col("text").rlike(r"\b(19|20)\d{2}\)"))
-    return p.select("pair_id", "side", F.col("number").alias("index"), T.truncate(F.col("text"), 300).alias("raw"))
+    return p.select("pair_id", "side", F.col("number").alias("index"), F.col("text").alias("raw"))
 
 
 def reference_changes(spark: SparkSession, folder: str) -> DataFrame:
@@ -96,7 +95,7 @@ blocks AS (SELECT pair_id, side, 'p' AS kind, number AS a, 0 AS b, text FROM p
   UNION ALL SELECT pair_id, side, 't', table_index, r, string_agg(text, ' | ' ORDER BY k, text) FROM c GROUP BY ALL)
 """
 _NUMBERS = r"""
-x AS (SELECT pair_id, side, unnest(regexp_extract_all(text, '(^|[^\p{L}\p{N}_.])([+-]?\d[\d,]*(?:\.\d+)?(?:\s?%)?)', 2)) AS raw FROM blocks),
+x AS (SELECT pair_id, side, unnest(regexp_extract_all(replace(text, '%', '% '), '(^|[^\p{L}\p{N}_.])([+-]?\d[\d,]*(?:\.\d+)?(?:\s?%)?)', 2)) AS raw FROM blocks),
 y AS (SELECT pair_id, side, regexp_replace(raw, '[,\s+]', '', 'g') AS b FROM x),
 z AS (SELECT pair_id, side, regexp_replace(b, '%$', '') AS d, ends_with(b, '%') AS pc FROM y),
 v AS (SELECT pair_id, side, pc, starts_with(d, '-') AS neg, regexp_replace(regexp_extract(d, '^-?(\d*)', 1), '^0+(\d)', '\1') AS w, regexp_replace(regexp_extract(d, '\.(\d*)$', 1), '0+$', '') AS f FROM z),

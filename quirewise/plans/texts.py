@@ -125,8 +125,8 @@ SELECT k.doc_id, CAST(i - 1 AS INTEGER) AS ord,
 FROM k JOIN o USING (doc_id), LATERAL (SELECT unnest(range(1, len(l) + 1)) AS i) WHERE l[i] <> ''
 """,
     "f_numbers": f"""
-SELECT para_id, array_to_string(list_transform(regexp_extract_all(text, '{_NUM}', 2), lambda x: replace(x, ',', '')), '|') AS numbers,
-  CAST(len(list_filter(regexp_extract_all(text, '{_NUM}', 2), lambda x: replace(x, ',', '') = '2013')) AS INTEGER) AS n_2013,
+SELECT para_id, array_to_string(list_transform(regexp_extract_all(replace(text, '%', '% '), '{_NUM}', 2), lambda x: replace(x, ',', '')), '|') AS numbers,
+  CAST(len(list_filter(regexp_extract_all(replace(text, '%', '% '), '{_NUM}', 2), lambda x: replace(x, ',', '') = '2013')) AS INTEGER) AS n_2013,
   CAST(coalesce(nullif(regexp_extract(text, '\\(\\s*((?:19|20)\\d{{2}})[a-z]?\\s*\\)', 1), ''), nullif(regexp_extract(text, '(?:^|[^\\p{{L}}\\p{{N}}_])((?:19|20)\\d{{2}})[a-z]?(?:[^\\p{{L}}\\p{{N}}_]|$)', 1), '')) AS INTEGER) AS year
 FROM ({_P})""",
     "f_headings": rf"""

@@ -18,5 +18,6 @@ def spark():
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
+    session.sparkContext.environment["PYTHONPATH"] = str(Path(__file__).resolve().parent.parent)  # for workers, wherever pytest was started
     yield session
     session.stop()
