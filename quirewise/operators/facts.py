@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quirewise.functions import text as T
+from quirewise.operators.locate import find_texts
 
 
 def scope_texts(targets: DataFrame, paragraphs: DataFrame, matches: DataFrame, tree: DataFrame) -> DataFrame:
@@ -16,21 +17,51 @@ def scope_texts(targets: DataFrame, paragraphs: DataFrame, matches: DataFrame, t
     return places.join(paragraphs.select("pair_id", "side", "section_id", "number", "text"), ["pair_id", "side", "section_id"]).select("pair_id", "issue_id", "side", "number", "text")
 
 
+def _asked(requests: DataFrame) -> DataFrame:
+    """pair_id, issue_id, is_number, old, new of the requests that name a value."""
+    pair = F.coalesce(F.col("numeric_correction"), F.col("replace_pair"))
+    return requests.filter("numeric_correction is not null or replace_pair is not null").select("pair_id", "issue_id", F.col("numeric_correction").isNotNull().alias("is_number"), T.normalize(pair["old"]).alias("old"), T.normalize(pair["new"]).alias("new"))
+
+
+def _whole(text: str, value: Column) -> Column:
+    """How often a value stands in a text as whole words."""
+    return F.regexp_count(text, F.concat(F.lit(r"(?<![\p{L}\p{N}_])\Q"), value, F.lit(r"\E(?![\p{L}\p{N}_])")))
+
+
 def value_facts(requests: DataFrame, texts: DataFrame) -> DataFrame:
     """pair_id, issue_id, old_before, old_after, new_before, new_after: how often the old and the new value stand in the place.
 
     `requests` has replace_pair and numeric_correction of parse_request. Numbers count as
     whole numbers, other wording as whole words in normalised text; a number goes first.
     """
-    pair = F.coalesce(F.col("numeric_correction"), F.col("replace_pair"))
-    x = requests.filter("numeric_correction is not null or replace_pair is not null").select("pair_id", "issue_id", F.col("numeric_correction").isNotNull().alias("is_number"), T.normalize(pair["old"]).alias("old"), T.normalize(pair["new"]).alias("new"))
-    j = x.join(texts, ["pair_id", "issue_id"]).withColumns({"n": T.numbers_in(F.col("text")), "t": T.normalize(F.col("text"))})
-    whole = lambda v: F.regexp_count("t", F.concat(F.lit(r"(?<![\p{L}\p{N}_])\Q"), v, F.lit(r"\E(?![\p{L}\p{N}_])")))
-    count = lambda c: F.when(F.col(c).isNull() | (F.col(c) == ""), 0).when(F.col("is_number"), F.size(F.filter("n", lambda y: y == F.col(c)))).otherwise(whole(F.col(c)))
+    j = _asked(requests).join(texts, ["pair_id", "issue_id"]).withColumns({"n": T.numbers_in(F.col("text")), "t": T.normalize(F.col("text"))})
+    count = lambda c: F.when(F.col(c).isNull() | (F.col(c) == ""), 0).when(F.col("is_number"), F.size(F.filter("n", lambda y: y == F.col(c)))).otherwise(_whole("t", F.col(c)))
     at = lambda c, side: F.sum(F.when(F.col("side") == side, count(c)).otherwise(0))
     return j.groupBy("pair_id", "issue_id").agg(at("old", "original").alias("old_before"), at("old", "revised").alias("old_after"), at("new", "original").alias("new_before"), at("new", "revised").alias("new_after"))
 
 
+def whole_value_facts(requests: DataFrame, paragraphs: DataFrame) -> DataFrame:
+    """What value_facts gives for requests whose place is the whole document.
+
+    Every value asked for is counted once for each pair and side, not once for each
+    request; numbers meet by equality, other wording through find_texts.
+    """
+    x = _asked(requests)
+    v = x.select("pair_id", "is_number", F.explode(F.array("old", "new")).alias("v")).filter("v <> ''").distinct()
+    numbers = v.filter("is_number").join(paragraphs.select("pair_id", "side", F.explode(T.numbers_in(F.col("text"))).alias("v")), ["pair_id", "v"]).withColumn("c", F.lit(1))
+    counted = numbers.select("pair_id", "is_number", "v", "side", "c")
+    wording = v.filter("not is_number").select("pair_id", F.col("v").alias("needle_id"), F.col("v").alias("norm"))
+    for side in ("original", "revised"):
+        p = paragraphs.filter(F.col("side") == side).select("pair_id", "number", T.normalize(F.col("text")).alias("norm"), T.tokens(F.col("text")).alias("words"))
+        hit = find_texts(wording, p).join(p.select("pair_id", "number", "norm"), ["pair_id", "number"])
+        counted = counted.unionByName(hit.select("pair_id", F.lit(False).alias("is_number"), F.col("needle_id").alias("v"), F.lit(side).alias("side"), _whole("norm", F.col("needle_id")).alias("c")))
+    at = lambda side: F.sum(F.when(F.col("side") == side, F.col("c")).otherwise(0))
+    totals = counted.groupBy("pair_id", "is_number", "v").agg(at("original").alias("before"), at("revised").alias("after"))
+    for c in ("old", "new"):
+        x = x.join(totals.select("pair_id", "is_number", F.col("v").alias(c), F.col("before").alias(f"{c}_before"), F.col("after").alias(f"{c}_after")), ["pair_id", "is_number", c], "left")
+    return x.select("pair_id", "issue_id", "old_before", "old_after", "new_before", "new_after").na.fill(0)
+
+
 def term_coverage(requests: DataFrame, units: DataFrame) -> DataFrame:
     """pair_id, issue_id, n_terms, covered, best: terms of a request found in all new text, and most in one unit.
 

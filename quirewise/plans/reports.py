@@ -44,16 +44,17 @@ def compound_rollup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def value_facts(spark: SparkSession, folder: str) -> DataFrame:
-    """P9, P10, V2 facts: the two numbers of 'shows A, whereas ... shows B' counted in the place of the request."""
+    """P9, P10, V2 facts: the two numbers of 'shows A, whereas ... shows B' counted in the place of the request, or in the whole document."""
     p = _paragraphs(spark, folder)
     s = cut(R.section_tree(p))
     m = cut(R.match_sections(s, p))
     x = cut(_requests(spark, folder))
-    t = cut(L.locate_targets(x, p, s))
+    t = cut(L.locate_targets(x, p, s, records(spark, folder, "cells")))
     pattern = r"shows (\d+), whereas .*? shows (\d+)"
     pair = F.struct(F.regexp_extract("comment_text", pattern, 1).alias("old"), F.regexp_extract("comment_text", pattern, 2).alias("new"))
     asked = x.withColumn("numeric_correction", F.coalesce("numeric_correction", F.when(F.col("comment_text").rlike(pattern), pair)))
-    return A.value_facts(asked, A.scope_texts(t, p, m, R.ancestors(s)))
+    anywhere = asked.join(L.unlocated(x, t), ["pair_id", "issue_id"], "left_semi")
+    return A.value_facts(asked, A.scope_texts(t, p, m, R.ancestors(s))).unionByName(A.whole_value_facts(anywhere, p))
 
 
 def tracked_evidence(spark: SparkSession, folder: str) -> DataFrame:
