@@ -87,14 +87,24 @@ def reference_facts(requests: DataFrame, references: DataFrame) -> DataFrame:
     return x.join(new, "pair_id", "left").groupBy("pair_id", "issue_id", "need").agg(F.count_if(fit & F.col("year").isNotNull()).alias("qualifying"))
 
 
-def tracked_evidence(requests: DataFrame, targets: DataFrame, tracked: DataFrame, most: int = 3) -> DataFrame:
-    """pair_id, issue_id, n, ord, text: the first tracked insertions in the place of a request that share a term with it."""
+def tracked_evidence(requests: DataFrame, scopes: DataFrame, anywhere: DataFrame, tracked: DataFrame, most: int = 3) -> DataFrame:
+    """pair_id, issue_id, n, ord, text: the first tracked insertions in the place of a request that share a term with it.
+
+    Insertions in the body of the revised side count. `scopes` has pair_id, issue_id,
+    in_section (a revised section of the place), `anywhere` the requests whose place is
+    the whole document. The first insertions of a request are among the first ones of
+    each of its terms, so only those meet requests.
+    """
     from pyspark.sql import Window
 
-    x = requests.select("pair_id", "issue_id", "terms").join(targets.select("pair_id", "issue_id", "section_id"), ["pair_id", "issue_id"])
-    t = tracked.filter("kind = 'insertion'").select("pair_id", "section_id", "ord", "text", T.stems_in(F.col("text")).alias("stems"))
-    hit = x.join(t, ["pair_id", "section_id"]).filter(F.arrays_overlap("terms", "stems"))
-    return hit.withColumn("n", F.row_number().over(Window.partitionBy("pair_id", "issue_id").orderBy("ord"))).filter(F.col("n") <= most).select("pair_id", "issue_id", "n", "ord", "text")
+    first = lambda df, *keys: df.withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy("ord"))).filter(F.col("n") <= most).drop("n")
+    t = tracked.filter("kind = 'insertion' and side = 'revised' and story = 'body'").select("pair_id", F.col("section_id").alias("in_section"), "ord", "text", F.explode(F.array_distinct(T.stems_in(F.col("text")))).alias("stem"))
+    terms = requests.select("pair_id", "issue_id", F.explode(F.array_distinct("terms")).alias("stem"))
+    keys = ["pair_id", "issue_id"]
+    located = terms.join(scopes.select(*keys, "in_section"), keys).join(first(t, "pair_id", "in_section", "stem"), ["pair_id", "in_section", "stem"])
+    whole = terms.join(anywhere.select(*keys), keys).join(first(t, "pair_id", "stem"), ["pair_id", "stem"])
+    hit = located.select(*keys, "ord", "text").unionByName(whole.select(*keys, "ord", "text")).distinct()
+    return hit.withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy("ord"))).filter(F.col("n") <= most).select(*keys, "n", "ord", "text")
 
 
 def elsewhere(requests: DataFrame, units: DataFrame, targets: DataFrame) -> DataFrame:

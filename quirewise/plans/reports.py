@@ -61,8 +61,10 @@ def tracked_evidence(spark: SparkSession, folder: str) -> DataFrame:
     """J18, W9."""
     p = _paragraphs(spark, folder)
     x = cut(_requests(spark, folder))
-    t = L.locate_targets(x, p, cut(R.section_tree(p)))
-    return A.tracked_evidence(x, t, records(spark, folder, "tracked", "pair_id", "section_id", "ord", "kind", "text"))
+    s = cut(R.section_tree(p))
+    t = cut(L.locate_targets(x, p, s, records(spark, folder, "cells")))
+    scopes = L.revised_scope(t, R.match_sections(s, p), R.ancestors(s))
+    return A.tracked_evidence(x, scopes, L.unlocated(x, t), records(spark, folder, "tracked", "pair_id", "side", "section_id", "ord", "kind", "story", "text"))
 
 
 def traceability_matrix(spark: SparkSession, folder: str) -> DataFrame:
