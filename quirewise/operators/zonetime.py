@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import struct
 import zoneinfo
 from collections.abc import Iterator
 from datetime import datetime, timedelta, timezone
+from importlib import resources
+from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,8 +15,8 @@ from pyspark.sql import functions as F
 
 DAY = 86_400_000_000
 FIRST_YEAR, LAST_YEAR = 1900, 2100
-#: Days between looks at a zone's clock; the shortest break in summer time on record is longer.
-STEP_DAYS = 25
+#: Days between looks at a zone's clock after the last change its file lists, where a yearly rule goes on; the rule's two spells of a year are longer.
+STEP_DAYS = 5
 
 # Month names in English, German, French and Spanish, lower-cased; abbreviations are the first three letters.
 MONTHS = {
@@ -114,8 +117,32 @@ def parse_stamp(df: DataFrame, text: str, date_order: str) -> DataFrame:
     return df.withColumn("_stamp", stamp).drop("_s", "_f", "_y", "_m", "_d", "_h", "_i", "_x", "_p")
 
 
+def _listed(zone: str) -> tuple[list[int], bool]:
+    """The instants of the changes that a zone's file lists (RFC 9636), and whether a yearly rule goes on after them."""
+    paths = [Path(folder, zone) for folder in zoneinfo.TZPATH]
+    path = next((p for p in paths if p.is_file()), None)
+    raw = path.read_bytes() if path else resources.files("tzdata").joinpath("zoneinfo", *zone.split("/")).read_bytes()
+
+    def header(at: int) -> tuple[int, ...]:
+        return struct.unpack(">6l", raw[at + 20 : at + 44])
+
+    at, wide = 0, 4
+    if raw[4:5] >= b"2":
+        isutc, isstd, leap, times, types, chars = header(0)
+        at, wide = 44 + times * 5 + types * 6 + chars + leap * 8 + isstd + isutc, 8
+    isutc, isstd, leap, times, types, chars = header(at)
+    begin = at + 44
+    found = list(struct.unpack(f">{times}{'q' if wide == 8 else 'l'}", raw[begin : begin + times * wide]))
+    foot = raw[begin + times * (wide + 1) + types * 6 + chars + leap * (wide + 4) + isstd + isutc :] if wide == 8 else b""
+    return found, b"," in foot
+
+
 def _intervals_of(zone: str, first: int, last: int) -> list[tuple[int, int, int, str]]:
-    """(utc_from, utc_to, offset, abbreviation) in seconds, covering the years of the zone."""
+    """(utc_from, utc_to, offset, abbreviation) in seconds, covering the years of the zone.
+
+    The changes listed in the zone's file are taken as they are, however short a spell;
+    only the rule after the last of them is scanned.
+    """
     z = zoneinfo.ZoneInfo(zone)
     epoch = datetime(1970, 1, 1, tzinfo=timezone.utc)
 
@@ -125,8 +152,14 @@ def _intervals_of(zone: str, first: int, last: int) -> list[tuple[int, int, int,
 
     begin = int((datetime(first, 1, 1, tzinfo=timezone.utc) - epoch).total_seconds()) - 2 * 86400
     end = int((datetime(last + 1, 1, 1, tzinfo=timezone.utc) - epoch).total_seconds()) + 2 * 86400
-    out, since, now, t = [], begin, state(begin), begin
-    while t < end:
+    listed, goes_on = _listed(zone)
+    out, since, now = [], begin, state(begin)
+    for at in listed:
+        if begin < at < end and (new := state(at)) != now:
+            out.append((since, at, *now))
+            since, now = at, new
+    t = max([begin, *listed[-1:]])
+    while goes_on and t < end:
         nxt = min(t + STEP_DAYS * 86400, end)
         new = state(nxt)
         if new != now:
