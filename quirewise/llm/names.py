@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -209,17 +210,40 @@ def _near_codes(code: str) -> set[str]:
     return ends | ({code} | {code[:i] + code[i + 1 :] for i in range(len(code))} if len(code) <= 70 else set())
 
 
+def _stable(text: str) -> int:
+    """A 64-bit hash that is the same in every worker."""
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big")
+
+
+def _org_keys(kind: str, words: list[str]) -> set[str]:
+    """Keys of an organisation: forms that compare() accepts share one.
+
+    Same and abbreviated words begin with the same two letters, and at most one word
+    holds a slip. So either the beginnings of all words agree, or those of all but one,
+    which then shares a code of its sounds (of its letters where it has hardly any sound).
+    Beginnings enter as a sum of hashes, whose collisions only add candidates.
+    """
+    starts = [_stable(w.rstrip(".")[:2]) for w in words]
+    total, size = sum(starts), len(words)
+    keys = {f"o{kind}:{size}:{total % (1 << 64):x}"}
+    for w, start in set(zip(words, starts)):
+        bare = w.rstrip(".")
+        if len(bare) >= 4:
+            code = sound(bare)
+            near = {f"s{c}" for c in _near_codes(code) if c} | ({f"l{c}" for c in _near_codes(bare)} if len(code) <= 1 else set())
+            keys |= {f"o{kind}:{size}:{(total - start) % (1 << 64):x}:{c}" for c in near}
+    return keys
+
+
 def block_keys(form: str) -> list[str]:
-    """Blocking keys: phonetic codes of sorted tokens, and of tokens with one sound left out.
+    """Blocking keys: of persons, phonetic codes and codes with one sound left out; of organisations, see _org_keys.
 
     Two forms within one edit of each other share a key, because an edit changes at
     most one sound or swaps two.
     """
     if form[0] == "o":
         _, kind, rest = form.split("|")
-        codes = sorted((sound(w.rstrip(".")) or w) for w in rest.split() if not w.endswith("."))
-        pairs = {(a, b) for i, a in enumerate(codes) for b in codes[i + 1 :]}
-        return sorted({f"o{kind[:4]}:{a}:{b}" for a, b in pairs} or {f"o{kind[:4]}:{c}" for c in codes})
+        return sorted(_org_keys(kind, rest.split()))
     keys = set()
     for surname, given, initial, _ in readings(form):
         code = sound(surname)
@@ -232,7 +256,7 @@ def block_keys(form: str) -> list[str]:
     return sorted(keys)
 
 
-#: Least Jaro-Winkler similarity of two words of which one is a typing slip of the other.
+#: Least Jaro-Winkler similarity of two words of which one is a typing slip of the other; one edit decides, this hardly ever does.
 LEAST_JARO_WINKLER = 0.75
 
 
@@ -296,7 +320,7 @@ def name_entities(names: DataFrame, name: str = "name") -> DataFrame:
     """name, entity: which stored spellings name the same person or organisation.
 
     Distinct spellings are parsed to forms, forms sharing a phonetic block are compared
-    (Jaro-Winkler, nickname table, initials, at most one typing slip in all), and
+    (one edit, nickname table, initials, at most one typing slip in all), and
     accepted pairs are clustered by connected components. Spellings with a bare
     initial would chain different people, so they join afterwards, and only where
     exactly one cluster fits them best; where none fits they cluster among themselves.
