@@ -45,6 +45,7 @@ def diff_copies(
     keys: Sequence[str],
     fields: Sequence[str] = (),
     normalise: Callable[[Column], Column] | dict[str, Callable[[Column], Column]] | None = None,
+    absent_as_null: bool = False,
 ) -> DataFrame:
     """Compare two copies row by row and field by field.
 
@@ -52,7 +53,8 @@ def diff_copies(
     struct(field, left_value, right_value) with the fields whose normalised values
     differ, stored values as strings. Keys match null-safely: a null key equals a null
     key. A null field equals only what normalises to the same (with the default,
-    null). A row on one side only has an empty `differences`. Other columns of either
+    null). A row on one side only has an empty `differences`, or, with `absent_as_null`,
+    is compared with a row of nulls. Other columns of either
     input are ignored, so clashing names do no harm. Repeated keys give every
     combination, as a join does; fold copies first. Two empty inputs give no rows.
     """
@@ -64,10 +66,10 @@ def diff_copies(
     for i in range(len(keys)):
         on = on & F.col(f"_lk{i}").eqNullSafe(F.col(f"_rk{i}"))
     j = a.join(b, on, "full_outer")
-    both = F.col("_l").isNotNull() & F.col("_r").isNotNull()
+    compared = F.lit(True) if absent_as_null else F.col("_l").isNotNull() & F.col("_r").isNotNull()
     items = [
         F.when(
-            both & ~rule(f)(F.col(f"_lf{i}")).eqNullSafe(rule(f)(F.col(f"_rf{i}"))),
+            compared & ~rule(f)(F.col(f"_lf{i}")).eqNullSafe(rule(f)(F.col(f"_rf{i}"))),
             F.struct(F.lit(f).alias("field"), F.col(f"_lf{i}").cast("string").alias("left_value"), F.col(f"_rf{i}").cast("string").alias("right_value")),
         )
         for i, f in enumerate(fields)
@@ -136,20 +138,12 @@ def audit_table_copies(cells: DataFrame, log: DataFrame) -> DataFrame:
     cell = [*place, "row_label", "col_label"]
     values = inner.groupBy(*cell, "side").agg(F.min("text").alias("text"))
     split = [values.filter(F.col("side") == s) for s in ("original", "revised")]
-    rule = {"text": comparable_value}
     # A cell on one side only is empty on the other, so it differs exactly if it is not empty.
-    pairs = (
-        split[0].select(*cell, F.col("text").alias("o"), F.lit(1).alias("_o"))
-        .join(split[1].select(*cell, F.col("text").alias("r"), F.lit(1).alias("_r")), cell, "full_outer")
-        .select(*cell, "o", "r")
-    )
+    pairs = diff_copies(*split, cell, ["text"], comparable_value, absent_as_null=True).filter(F.size("differences") > 0)
+    pairs = pairs.select(*cell, F.element_at("differences", 1)["left_value"].alias("o"), F.element_at("differences", 1)["right_value"].alias("r"))
     grid_rows = row_diff.filter("in_left and in_right").select(*place, "row_label")
     grid_cols = col_diff.filter("in_left and in_right").select(*place, "col_label")
-    value = (
-        pairs.filter(rule["text"](F.col("o")) != rule["text"](F.col("r")))
-        .join(grid_rows, [*place, "row_label"], "left_semi")
-        .join(grid_cols, [*place, "col_label"], "left_semi")
-    )
+    value = pairs.join(grid_rows, [*place, "row_label"], "left_semi").join(grid_cols, [*place, "col_label"], "left_semi")
     logged = (
         log.select(*place, F.coalesce(trimmed(F.col("row_label")), F.lit("")).alias("row_label"), F.coalesce(trimmed(F.col("col_label")), F.lit("")).alias("col_label"), "original", "revised")
         .groupBy(*cell)

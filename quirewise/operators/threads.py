@@ -78,18 +78,20 @@ def carry_headings(blocks: DataFrame) -> DataFrame:
     return blocks.withColumns({"reviewer": F.coalesce(F.last(named, ignorenulls=True).over(so_far), F.lit("")), "severity": F.nullif(F.last(level, ignorenulls=True).over(so_far), F.lit(""))})
 
 
-def reviewer_headings(issues: DataFrame, prefix: int = 5) -> DataFrame:
+def reviewer_headings(issues: DataFrame, span: int = 256) -> DataFrame:
     """The issues with `new_heading`: whether a letter names a reviewer above this one (W8, A16): where it differs from the one before, if a pair has several.
 
-    The order is that of the ids as text. Rows with one beginning of the id lie together
-    in it, so they are compared apart, and the last reviewer of the range before is
-    carried over; a large pair is no single task.
+    The order is that of the requests' numbers (RT-1000 comes after RT-999), then of the
+    ids as text; ids without a number come last. Rows are cut into ranges of `span`
+    numbers that are compared apart, and the last reviewer of the range before is
+    carried over, so a large pair is no single task.
     """
-    x = issues.withColumn("_part", F.left("id", F.lit(prefix))).withColumn("_who", F.struct("reviewer"))
-    last = x.groupBy("pair_id", "_part").agg(F.max_by("_who", "id").alias("_last"))
+    number = F.coalesce(F.regexp_extract("id", r"(\d+)\D*$", 1).try_cast("bigint"), F.lit(1 << 62))
+    x = issues.withColumn("_at", F.struct(number.alias("n"), F.col("id").alias("i"))).withColumn("_part", F.floor(F.col("_at.n") / span)).withColumn("_who", F.struct("reviewer"))
+    last = x.groupBy("pair_id", "_part").agg(F.max_by("_who", "_at").alias("_last"))
     carry = last.select("pair_id", "_part", F.lag("_last").over(Window.partitionBy("pair_id").orderBy("_part")).alias("_carry"))
     several = issues.groupBy("pair_id").agg((F.count_distinct("reviewer") > 1).alias("_several"))
-    near = F.lag("_who").over(Window.partitionBy("pair_id", "_part").orderBy("id"))
+    near = F.lag("_who").over(Window.partitionBy("pair_id", "_part").orderBy("_at"))
     x = x.withColumn("_near", near).join(carry, ["pair_id", "_part"]).join(several, "pair_id")
     before = F.coalesce("_near", "_carry")["reviewer"]
-    return x.withColumn("new_heading", F.col("_several") & ~F.col("reviewer").eqNullSafe(before)).drop("_part", "_who", "_near", "_carry", "_several")
+    return x.withColumn("new_heading", F.col("_several") & ~F.col("reviewer").eqNullSafe(before)).drop("_at", "_part", "_who", "_near", "_carry", "_several")

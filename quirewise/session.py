@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,13 +11,17 @@ from pyspark.sql import DataFrame, SparkSession
 def checkpoint_dir(spark: SparkSession) -> str:
     """The folder shared by all executors, from spark.checkpoint.dir.
 
-    Only where the session names none (tests on one machine) is a temporary folder set.
+    Only where the session names none and runs in one process (tests on one machine) is
+    a temporary folder set; on a cluster without the setting an error is raised, as a
+    folder of one machine would lose what others wrote.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     named = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="quirewise-checkpoint-"))
     return sc.getCheckpointDir()
 
