@@ -13,10 +13,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quirewise.session import cut
+
 DAY = 86_400_000_000
-FIRST_YEAR, LAST_YEAR = 1900, 2100
+FIRST_YEAR, LAST_YEAR = 1900, 2500
 #: Days between looks at a zone's clock after the last change its file lists, where a yearly rule goes on; the rule's two spells of a year are longer.
 STEP_DAYS = 5
+#: The first wall-clock instant that the table of intervals covers.
+_FIRST_US = -25_567 * DAY
 
 # Month names in English, German, French and Spanish, lower-cased; abbreviations are the first three letters.
 MONTHS = {
@@ -176,49 +180,40 @@ def _intervals_of(zone: str, first: int, last: int) -> list[tuple[int, int, int,
     return out
 
 
-def zone_intervals(spark: SparkSession, first: int = FIRST_YEAR, last: int = LAST_YEAR) -> DataFrame:
-    """tz, year, intervals: the offsets in force in each local year of every known zone.
+def zone_intervals(spark: SparkSession, zones: DataFrame, first: int = FIRST_YEAR, last: int = LAST_YEAR) -> DataFrame:
+    """tz, year, intervals: the offsets in force in each local year of the zones named in column `tz`.
 
-    An interval is struct(lo_us, hi_us, offset_us) in local time, half open; the local
-    intervals of one zone overlap where clocks go back and leave a gap where they go
-    forward. Exploded by year, so an equi-join finds the one or two that matter. The
-    table's size is bounded by the number of zones times the years.
+    An interval is struct(lo_us, hi_us, offset_us, abbreviation) in local time, half open;
+    the local intervals of one zone overlap where clocks go back and leave a gap where they
+    go forward. Exploded by year, so an equi-join finds the few that matter. Names that are
+    no zone give nothing, so the table's size is bounded by the number of zones times the years.
     """
+    known = zoneinfo.available_timezones()
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
             for zone in pdf["tz"]:
-                for lo, hi, off, _ in _intervals_of(zone, first, last):
-                    rows.append((zone, lo + off, hi + off, off))
-            yield pd.DataFrame(rows, columns=["tz", "lo", "hi", "off"])
+                if zone in known:
+                    for lo, hi, off, name in _intervals_of(zone, first, last):
+                        rows.append((zone, lo + off, hi + off, off, name.upper()))
+            yield pd.DataFrame(rows, columns=["tz", "lo", "hi", "off", "name"])
 
-    zones = sorted(zoneinfo.available_timezones())
-    n = min(len(zones), max(1, spark.sparkContext.defaultParallelism))
-    flat = spark.createDataFrame([(z,) for z in zones], "tz string").repartition(n).mapInPandas(build, "tz string, lo long, hi long, off long")
+    flat = zones.select("tz").filter("tz is not null").distinct().mapInPandas(build, "tz string, lo long, hi long, off long, name string")
     year = lambda c: F.year(F.date_add(F.lit("1970-01-01").cast("date"), F.floor(c / 86400).cast("int")))
     us = 1_000_000
     return (
         flat.withColumn("year", F.explode(F.sequence(year(F.col("lo")), year(F.col("hi") - 1))))
         .groupBy("tz", "year")
-        .agg(F.array_sort(F.collect_list(F.struct((F.col("lo") * us).alias("lo_us"), (F.col("hi") * us).alias("hi_us"), (F.col("off") * us).alias("offset_us")))).alias("intervals"))
+        .agg(F.array_sort(F.collect_list(F.struct((F.col("lo") * us).alias("lo_us"), (F.col("hi") * us).alias("hi_us"), (F.col("off") * us).alias("offset_us"), F.col("name").alias("abbreviation")))).alias("intervals"))
     )
 
 
-def office_abbreviations(offices: DataFrame) -> list[tuple[str, str, int]]:
-    """(tz, abbreviation, offset in microseconds) as used in the zones of the offices, the latest use first.
-
-    The table of offices is fixed and small; its distinct zones are read on the driver.
-    """
-    known = zoneinfo.available_timezones()
-    out = []
-    for (tz,) in offices.select("tz").distinct().limit(len(known)).collect():
-        if tz in known:
-            seen: dict[str, int] = {}
-            for _, _, off, name in _intervals_of(tz, 1970, 2040):
-                seen[name] = off
-            out += [(tz, k, v * 1_000_000) for k, v in seen.items() if k[:1].isalpha()]
-    return out
+def zone_abbreviations(intervals: DataFrame) -> DataFrame:
+    """tz, names: what each abbreviation of a zone meant, from (local microseconds) on, as a map of arrays of struct(from_us, offset_us) in order."""
+    each = intervals.select("tz", F.explode("intervals").alias("i")).filter(F.col("i.abbreviation").rlike("^[A-Z]")).groupBy("tz", F.col("i.abbreviation").alias("name"), F.col("i.lo_us").alias("from_us"), F.col("i.offset_us").alias("offset_us")).agg(F.lit(1))
+    one = each.groupBy("tz", "name").agg(F.array_sort(F.collect_list(F.struct("from_us", "offset_us"))).alias("uses"))
+    return one.groupBy("tz").agg(F.map_from_entries(F.collect_list(F.struct("name", "uses"))).alias("names"))
 
 
 def utc_text(us: Column) -> Column:
@@ -232,37 +227,53 @@ def utc_text(us: Column) -> Column:
     )
 
 
-def to_utc(df: DataFrame, offices: DataFrame, text: str = "date", office: str = "office", out: str = "utc") -> DataFrame:
+def to_utc(df: DataFrame, offices: DataFrame, text: str = "date", office: str = "office", out: str = "utc", texts: DataFrame | None = None) -> DataFrame:
     """Add column `out`: the UTC instant of each text, or `ambiguous`, or `invalid`; null for a null or blank text.
 
     A zone in the text holds; otherwise the text is wall-clock time at the record's
     office, matched to the zone's offset intervals: two matches are `ambiguous`, none
-    is `invalid`. `invalid` also stands where the text is no date, the date or time
-    does not exist, the zone in the text is unknown at the office, a year lies outside
-    1900-2100 without an offset in the text, or a wall-clock time has no office. Slashed
-    dates of an office without date_order are `invalid` unless the year comes first.
-    The input's other columns are kept; names starting with an underscore and `_q_` are
-    reserved. Repeated rows each get their result.
+    is `invalid`. An abbreviation is joined as of its time: the interval of the office's
+    zone in which the wall clock read so and the abbreviation was in use gives the offset;
+    where none holds the time (summer time named in winter), the latest use before it, else
+    the first. `invalid` also stands where the text is no date, the date or time does not
+    exist, the zone in the text is unknown at the office, or a wall-clock time has no office.
+    Years before 1900 take the zone's offset at the start of 1900, years after 2500 the rule
+    of the same year of the calendar 400 years before. Slashed dates of an
+    office without date_order are `invalid` unless the year comes first. The input's other
+    columns are kept; names starting with an underscore and `_q_` are reserved. Repeated
+    rows each get their result. Zones named in brackets are gathered in a pass over the
+    text column of `texts`, by default df; give the stored table where df is costly.
     """
     spark = df.sparkSession
-    intervals = zone_intervals(spark)
     small = offices.groupBy(F.col("office").alias("_q_office")).agg(F.min("tz").alias("_q_tz"), F.min("date_order").alias("_q_order"))
     # Bounds: offices is a fixed table; intervals hold zones x years. Neither grows with the records.
     x = df.join(F.broadcast(small), F.col(office) == F.col("_q_office"), "left")
     x = parse_stamp(x, text, "_q_order")
+    named = F.regexp_extract(F.col(text), r"\[([A-Za-z0-9_+\-/]+)\]", 1)
+    regions = (df if texts is None else texts).filter(F.col(text).contains("[")).select(named.alias("tz")).distinct()
+    intervals = cut(zone_intervals(spark, small.select(F.col("_q_tz").alias("tz")).unionByName(regions)))
     zone = F.col("_stamp.zone")
-    abbreviations = office_abbreviations(offices)
-    table = F.create_map(*[F.lit(v) for tz, name, off in abbreviations for v in (f"{tz} {name}", off)]) if abbreviations else F.create_map(F.lit(""), F.lit(0))
     digits = F.regexp_replace(zone, "[^0-9]", "")
     hours, minutes = F.substring(digits, 1, 2).try_cast("bigint"), F.coalesce(F.substring(digits, 3, 2).try_cast("bigint"), F.lit(0))
     numeric = F.when((hours <= 18) & (minutes <= 59), (hours * 3600 + minutes * 60) * 1_000_000 * F.when(zone.startswith("-"), -1).otherwise(1))
-    given = F.when(zone.isin(*UTC_NAMES), F.lit(0).cast("bigint")).when(zone.rlike(r"^[+-]\d"), numeric).otherwise(F.try_element_at(table, F.concat_ws(" ", F.col("_q_tz"), zone)).cast("bigint"))
     local = F.col("_stamp.local_us")
-    x = x.withColumn("_q_given", given).withColumn("_q_zone", F.when(zone.isNull() & F.col("_stamp.utc_us").isNull(), F.coalesce(F.col("_stamp.region"), F.col("_q_tz"))))
-    x = x.withColumn("_q_year", F.year(F.date_add(F.lit("1970-01-01").cast("date"), F.floor(local / DAY).cast("int"))))
+    year = F.year(F.date_add(F.lit("1970-01-01").cast("date"), F.floor(local / DAY).cast("int")))
+    # The calendar repeats after 400 years; the table covers FIRST_YEAR to LAST_YEAR.
+    turns = F.when(year > LAST_YEAR, F.ceil((year - LAST_YEAR) / 400)).otherwise(0)
+    x = x.withColumn("_q_shift", F.coalesce(turns.cast("bigint"), F.lit(0)) * (146_097 * DAY)).withColumn("_q_local", F.greatest(local - F.col("_q_shift"), F.lit(_FIRST_US)))
+    x = x.withColumn("_q_zone", F.when(F.col("_stamp.utc_us").isNull(), F.when(zone.isNull(), F.coalesce(F.col("_stamp.region"), F.col("_q_tz"))).when(~zone.isin(*UTC_NAMES) & ~zone.rlike(r"^[+-]\d"), F.col("_q_tz"))))
+    x = x.withColumn("_q_year", F.year(F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.col("_q_local") / DAY).cast("int"))))
     x = x.join(F.broadcast(intervals.select(F.col("tz").alias("_q_itz"), F.col("year").alias("_q_iyear"), F.col("intervals").alias("_q_in"))), (F.col("_q_zone") == F.col("_q_itz")) & (F.col("_q_year") == F.col("_q_iyear")), "left")
-    hits = F.filter("_q_in", lambda i: (i["lo_us"] <= F.col("_stamp.local_us")) & (F.col("_stamp.local_us") < i["hi_us"]))
-    x = x.withColumn("_q_hits", F.coalesce(F.transform(hits, lambda i: i["offset_us"]), F.expr("cast(array() as array<bigint>)")))
+    x = x.join(F.broadcast(zone_abbreviations(intervals).select(F.col("tz").alias("_q_atz"), F.col("names").alias("_q_names"))), (F.col("_q_tz") == F.col("_q_atz")) & zone.isNotNull(), "left")
+    hits = F.filter("_q_in", lambda i: (i["lo_us"] <= F.col("_q_local")) & (F.col("_q_local") < i["hi_us"]))
+    offsets = lambda a: F.coalesce(F.transform(a, lambda i: i["offset_us"]), F.expr("cast(array() as array<bigint>)"))
+    x = x.withColumn("_q_hits", offsets(hits))
+    here = offsets(F.filter(hits, lambda i: i["abbreviation"] == F.col("_stamp.zone")))
+    uses = F.try_element_at(F.col("_q_names"), zone)
+    before = offsets(F.filter(uses, lambda u: u["from_us"] <= F.col("_q_local")))
+    meant = F.coalesce(F.try_element_at(here, F.lit(1)), F.try_element_at(before, F.lit(-1)), F.try_element_at(offsets(uses), F.lit(1)))
+    given = F.when(zone.isin(*UTC_NAMES), F.lit(0).cast("bigint")).when(zone.rlike(r"^[+-]\d"), numeric).otherwise(meant)
+    x = x.withColumn("_q_given", given)
     result = (
         F.when(F.trim(F.regexp_replace(F.col(text), r"(?U)[\s\x1c-\x1f]+", " ")) == "", None)
         .when(F.col(text).isNull(), None)
@@ -274,4 +285,4 @@ def to_utc(df: DataFrame, offices: DataFrame, text: str = "date", office: str =
         .when(F.size("_q_hits") == 0, "invalid")
         .otherwise(utc_text(local - F.try_element_at(F.col("_q_hits"), F.lit(1))))
     )
-    return x.withColumn(out, result).drop("_stamp", "_q_office", "_q_tz", "_q_order", "_q_given", "_q_zone", "_q_year", "_q_itz", "_q_iyear", "_q_in", "_q_hits")
+    return x.withColumn(out, result).drop("_stamp", "_q_office", "_q_tz", "_q_order", "_q_given", "_q_zone", "_q_year", "_q_itz", "_q_iyear", "_q_in", "_q_hits", "_q_shift", "_q_local", "_q_atz", "_q_names")

@@ -14,11 +14,12 @@ from quirewise.sources.tables import records, table
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     """UTC instant of every dated record of issues, entries and tracked."""
-    parts = []
+    parts, stored = [], []
     for name, key in (("issues", "issue_key"), ("entries", "entry_key"), ("tracked", "tracked_key")):
         parts.append(records(spark, folder, name, "date", "office").select(F.lit(name).alias("tab"), F.col(key).alias("rec_id"), "date", "office"))
+        stored.append(table(spark, folder, name).select("date"))
     rows = reduce(DataFrame.unionByName, parts).filter(F.regexp_replace("date", r"(?U)[\s\x1c-\x1f]+", "") != "")
-    return to_utc(rows, table(spark, folder, "offices")).select("tab", "rec_id", "utc")
+    return to_utc(rows, table(spark, folder, "offices"), texts=reduce(DataFrame.unionByName, stored)).select("tab", "rec_id", "utc")
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:

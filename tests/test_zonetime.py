@@ -102,3 +102,19 @@ def test_every_hour_of_a_changing_month(spark, tz, office):
 def test_empty(spark):
     offices = spark.createDataFrame(OFFICES, "office string, tz string, date_order string")
     assert to_utc(spark.createDataFrame([], "office string, date string"), offices).count() == 0
+
+
+def test_abbreviations_hold_as_of_their_time(spark):
+    """One abbreviation, two offsets in one zone: Moscow's MSK was four hours ahead from 2011 to 2014."""
+    offices = spark.createDataFrame([("MOW", "Europe/Moscow", "DMY"), ("BAD", "No/Where", "DMY"), ("NUL", None, None)], "office string, tz string, date_order string")
+    rows = [("MOW", "2012-07-01 12:00 MSK", "2012-07-01T08:00:00.000000Z"), ("MOW", "2020-07-01 12:00 MSK", "2020-07-01T09:00:00.000000Z"), ("MOW", "2020-07-01 12:00 MSD", "2020-07-01T08:00:00.000000Z"), ("MOW", "2020-07-01 12:00 XYZ", "invalid")]
+    rows += [("BAD", "2020-07-01 12:00", "invalid"), ("NUL", "2020-07-01 12:00", "invalid"), ("NUL", "2020-07-01 12:00 UTC", "2020-07-01T12:00:00.000000Z"), ("MOW", "2020-07-01T12:00:00[Asia/Tokyo]", "2020-07-01T03:00:00.000000Z"), ("MOW", "2020-07-01T12:00:00[No/Where]", "invalid")]
+    got = to_utc(spark.createDataFrame(rows, "office string, date string, want string"), offices)
+    assert not [tuple(r) for r in got.filter("not utc <=> want").collect()]
+
+
+def test_years_outside_the_table(spark):
+    offices = spark.createDataFrame([("LDN", "Europe/London", "DMY")], "office string, tz string, date_order string")
+    rows = [("LDN", "2150-07-01 12:00", "2150-07-01T11:00:00.000000Z"), ("LDN", "2150-01-01 12:00", "2150-01-01T12:00:00.000000Z"), ("LDN", "1850-01-01 12:00", "1850-01-01T12:00:00.000000Z")]
+    got = to_utc(spark.createDataFrame(rows, "office string, date string, want string"), offices)
+    assert not [tuple(r) for r in got.filter("not utc <=> want").select("date", "utc").collect()]
