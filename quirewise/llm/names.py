@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quirewise.llm.blocks import block_pairs
 from quirewise.llm.components import connected_components
 from quirewise.session import cut
 
@@ -52,6 +53,10 @@ _SPELT = {abbr: word for word, abbrs in ORG_WORDS.items() for abbr in (word, *ab
 _AMBIGUOUS = frozenset("min off co sch school group bd comm found fac uni".split())
 
 
+#: Forms of one block that meet in one task; larger blocks are split into pairs of parts.
+BLOCK = 1024
+
+
 def fold(text: str) -> str:
     """Lower case, without accents."""
     t = unicodedata.normalize("NFKD", text.casefold()).translate(LETTERS)
@@ -152,7 +157,9 @@ def parse_name(name: str) -> str | None:
         for t in tokens:
             bare = re.sub(r"[^\w'’\-]", "", t)
             letters = re.sub(r"[\W\d_]", "", t)
-            if not letters or fold(letters) in TITLES:
+            # D.R. and, behind another word, DR are initials; Dr, Dr. and a leading DR are a title.
+            dotted = re.fullmatch(r"(?:[^\W\d_]\.){2,}", t) or (letters.isupper() and len(letters) == 2 and t is not tokens[0] and not part.isupper())
+            if not letters or (fold(letters) in TITLES and not dotted):
                 continue
             if len(letters) == 1 or re.fullmatch(r"(?:[^\W\d_]\.[\s\-]?)+[^\W\d_]?\.?", t):
                 initials += list(fold(letters))
@@ -204,10 +211,15 @@ def is_weak(form: str) -> bool:
     return form[0] == "p" and not form.split("|")[2]
 
 
+def _left_out(word: str) -> set[str]:
+    """A word and what is left with one letter out, of long ones both ends: words within one edit share one."""
+    ends = {f"^{word[:24]}", f"${word[-24:]}"} if len(word) > 60 else set()
+    return ends | ({word} | {word[:i] + word[i + 1 :] for i in range(len(word))} if len(word) <= 70 else set())
+
+
 def _near_codes(code: str) -> set[str]:
     """Codes of which a code within one edit shares one: with one sound left out; of long ones, both ends."""
-    ends = {f"^{code[:24]}", f"${code[-24:]}"} if len(code) > 60 else set()
-    return ends | ({code} | {code[:i] + code[i + 1 :] for i in range(len(code))} if len(code) <= 70 else set())
+    return _left_out(code)
 
 
 def _stable(text: str) -> int:
@@ -228,18 +240,19 @@ def _org_keys(kind: str, words: list[str]) -> set[str]:
     keys = {f"o{kind}:{size}:{total % (1 << 64):x}"}
     for w, start in set(zip(words, starts)):
         bare = w.rstrip(".")
-        if len(bare) >= 4:
+        if len(bare) >= FEWEST_LETTERS - 1:
             code = sound(bare)
-            near = {f"s{c}" for c in _near_codes(code) if c} | ({f"l{c}" for c in _near_codes(bare)} if len(code) <= 1 else set())
+            near = {f"s{c}" for c in _near_codes(code) if c} | ({f"l{c}" for c in _near_codes(bare)} if len(code) <= 2 else set())
             keys |= {f"o{kind}:{size}:{(total - start) % (1 << 64):x}:{c}" for c in near}
     return keys
 
 
 def block_keys(form: str) -> list[str]:
-    """Blocking keys: of persons, phonetic codes and codes with one sound left out; of organisations, see _org_keys.
+    """Blocking keys: of persons, phonetic codes and codes with one sound left out, with the initial; of organisations, see _org_keys.
 
-    Two forms within one edit of each other share a key, because an edit changes at
-    most one sound or swaps two.
+    Forms that compare() accepts share a key, because an edit changes at most one sound or
+    swaps two. Surnames of few sounds also give their letters with one left out, and equal
+    surnames the given name's, whose slip may be in its initial.
     """
     if form[0] == "o":
         _, kind, rest = form.split("|")
@@ -247,25 +260,31 @@ def block_keys(form: str) -> list[str]:
     keys = set()
     for surname, given, initial, _ in readings(form):
         code = sound(surname)
-        codes = _near_codes(code)
+        # Fewer than three sounds are shared by too many names; there the letters themselves are taken.
+        codes = {f"s{c}" for c in _near_codes(code)} if len(code) >= 4 else {f"l{c}" for c in _left_out(surname)} | ({f"s{c}" for c in _near_codes(code) if len(c) >= 3})
         starts = {initial, canonical_given(given)[:1]} - {""} or {"?"}
         keys |= {f"p{s}:{c}" for c in codes for s in starts}
         if given:
-            g = sound(canonical_given(given))
-            keys |= {f"g{code}:{g}", f"g{code}:{g[1:]}"}
+            # The given name's slip may be in its first letter; the surname is the same then.
+            keys |= {f"g{surname}:{x}" for x in _left_out(given)}
     return sorted(keys)
 
 
-#: Least Jaro-Winkler similarity of two words of which one is a typing slip of the other; one edit decides, this hardly ever does.
-LEAST_JARO_WINKLER = 0.75
+#: Least Jaro-Winkler similarity of two spellings of one word, fitted on clusters of spellings (see README), and fewest letters of such a word.
+LEAST_JARO_WINKLER, FEWEST_LETTERS = 0.77, 3
 
 
 def _slip(a: str, b: str) -> int | None:
-    """0 for the same word, 1 for a typing slip, None for different words."""
+    """0 for the same word, 1 for a typing slip, None for different words.
+
+    Jaro-Winkler decides which words may be one; the exact check after it asks that one
+    slip of the keyboard explains the difference, since different surnames reach scores
+    of 0.96 and more.
+    """
     if a == b:
         return 0
     # One edit in a hundred letters or more is above any threshold, so only short words are scored.
-    if min(len(a), len(b)) >= 4 and one_edit(a, b) and (len(a) > 100 or jaro_winkler(a, b) >= LEAST_JARO_WINKLER):
+    if min(len(a), len(b)) >= FEWEST_LETTERS and abs(len(a) - len(b)) <= 1 and (len(a) > 100 or jaro_winkler(a, b) >= LEAST_JARO_WINKLER) and one_edit(a, b):
         return 1
     return None
 
@@ -301,8 +320,6 @@ def compare(form_a: str, form_b: str) -> int | None:
             if ga and gb:
                 ca, cb = canonical_given(ga), canonical_given(gb)
                 more = 0 if ca == cb else _slip(ga, gb)
-                if more is None and not cost and min(len(ga), len(gb)) == 3 and one_edit(ga, gb):
-                    more = 1
                 if more is None:
                     continue
                 cost += more
@@ -320,7 +337,7 @@ def name_entities(names: DataFrame, name: str = "name") -> DataFrame:
     """name, entity: which stored spellings name the same person or organisation.
 
     Distinct spellings are parsed to forms, forms sharing a phonetic block are compared
-    (one edit, nickname table, initials, at most one typing slip in all), and
+    (Jaro-Winkler and one slip for each word, nickname table, initials, at most one slip in all), and
     accepted pairs are clustered by connected components. Spellings with a bare
     initial would chain different people, so they join afterwards, and only where
     exactly one cluster fits them best; where none fits they cluster among themselves.
@@ -346,7 +363,7 @@ def name_entities(names: DataFrame, name: str = "name") -> DataFrame:
         return pd.Series([compare(x, y) for x, y in zip(a, b)], dtype="Int32")
 
     keyed = forms.select("form", F.explode(keys("form")).alias("key"))
-    pairs = keyed.select("key", F.col("form").alias("a")).join(keyed.select("key", F.col("form").alias("b")), "key").filter("a < b").select("a", "b").distinct()
+    pairs = block_pairs(cut(keyed), "key", "form", BLOCK)
     weak = lambda c: F.col(c).startswith("p|") & F.col(c).contains("||")
     links = cut(pairs.withColumn("cost", cost("a", "b")).filter("cost is not null").withColumns({"wa": weak("a"), "wb": weak("b")}))
     strong = connected_components(links.filter("not wa and not wb"))

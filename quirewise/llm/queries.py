@@ -16,6 +16,12 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return names.name_pairs(names.name_entities(said))
 
 
+def p1_entities(spark: SparkSession, folder: str) -> DataFrame:
+    """Each spelling among reviewers and authors with the entity it names."""
+    said = table(spark, folder, "issues").select(F.col("reviewer").alias("name")).unionByName(table(spark, folder, "tracked").select(F.col("author").alias("name")))
+    return names.name_entities(said)
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     """Paragraphs that look unchanged, and anchors found only by their look."""
     p = records(spark, folder, "paragraphs", "pair_id", "side", "text").select(F.col("para_id").alias("id"), F.col("pair_id").alias("grp"), "side", F.col("text").alias("raw"), lookalike.canonical(F.col("text")).alias("form"))
@@ -85,7 +91,7 @@ def p8_share(spark: SparkSession, folder: str) -> DataFrame:
     return spans.shared_share(docs, spans.shared_spans(docs))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p3_found, p4_found, p4_groups, p6_packs, p7_mix, p7_shares, p8_found, p8_share)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_entities, p3_found, p4_found, p4_groups, p6_packs, p7_mix, p7_shares, p8_found, p8_share)}
 
 _LATIN = "aeopcyxijshdqwlvyABEKMHOPCTXSIJYYGVQWocjABEZHIKMNOPTYXCJ--"
 _OTHER = "аеорсухіјѕһԁԛԝӏѵүАВЕКМНОРСТХЅІЈУҮԌѴԚԜοϲϳΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹͿ‐‑"
