@@ -271,7 +271,8 @@ def block_keys(form: str) -> list[str]:
 
 
 #: Least Jaro-Winkler similarity of two spellings of one word, fitted on clusters of spellings (see README), and fewest letters of such a word.
-LEAST_JARO_WINKLER, FEWEST_LETTERS = 0.77, 3
+#: In words of three letters the score pairs letters of the same place only, so a swap scores low.
+LEAST_JARO_WINKLER, LEAST_OF_THREE, FEWEST_LETTERS = 0.77, 0.55, 3
 
 
 def _slip(a: str, b: str) -> int | None:
@@ -284,7 +285,8 @@ def _slip(a: str, b: str) -> int | None:
     if a == b:
         return 0
     # One edit in a hundred letters or more is above any threshold, so only short words are scored.
-    if min(len(a), len(b)) >= FEWEST_LETTERS and abs(len(a) - len(b)) <= 1 and (len(a) > 100 or jaro_winkler(a, b) >= LEAST_JARO_WINKLER) and one_edit(a, b):
+    least = LEAST_OF_THREE if len(a) == len(b) == 3 else LEAST_JARO_WINKLER
+    if min(len(a), len(b)) >= FEWEST_LETTERS and abs(len(a) - len(b)) <= 1 and (len(a) > 100 or jaro_winkler(a, b) >= least) and one_edit(a, b):
         return 1
     return None
 
