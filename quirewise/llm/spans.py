@@ -18,8 +18,8 @@ GRAM = 12
 CHUNK = 400_000
 #: One document in so many is read to find sketches so frequent that their windows are routed apart.
 HINT_SAMPLE = 32
-#: Estimated rows of one sketch from which its windows are routed apart, and most sketches so treated. Routing only: results are the same without.
-HOT_ROWS, HOT_MOST = 20_000, 4096
+#: Estimated rows of one sketch from which its windows are routed apart, and most sketches so treated (8 bytes each; one left out holds less than one in so many of all rows). Routing only: results are the same without.
+HOT_ROWS, HOT_MOST = 20_000, 65_536
 
 
 class _Hashes(dict):
@@ -80,9 +80,11 @@ def _scan(least: int, hot: np.ndarray, chunk: int) -> Callable[[Iterator[pd.Data
 
     Ordinary rows: key is the sketch, w the hashes of neighbouring windows that have it,
     start the first one's place. Windows of a hot sketch are settled in the batch where
-    two documents of the batch hold them: n > 0 gives a run known to be shared, and one
-    row with start -1 stands for them all; the others travel alone, keyed by their own
-    hash. So a hot key gets a row a batch at most, not one for each document.
+    two documents of the batch hold them: n > 0 gives a run known to be shared, and two
+    rows with start -1 stand for them all, one for the smallest and one for the largest
+    document, so that whatever else holds the window meets another document. The others
+    travel alone, keyed by their own hash, with the sketch in w. So windows always meet
+    on both hashes, and a hot key gets two rows a batch at most, not one for each document.
     """
 
     def frame(key, doc, start, w, n) -> pd.DataFrame:  # noqa: ANN001
@@ -100,18 +102,19 @@ def _scan(least: int, hot: np.ndarray, chunk: int) -> Callable[[Iterator[pd.Data
                     yield frame(k[at], d[at], s[at], parts, np.zeros(len(at), np.int32))
                 if not apart.any():
                     continue
-                d, s, x = (v[apart] for v in (doc, start, window))
-                values, which = np.unique(x, return_inverse=True)
+                d, s, x, k = (v[apart] for v in (doc, start, window, sketch))
+                values, first, which = np.unique(x, return_index=True, return_inverse=True)
                 low, high = np.full(len(values), np.iinfo(np.int64).max), np.full(len(values), np.iinfo(np.int64).min)
                 np.minimum.at(low, which, d)
                 np.maximum.at(high, which, d)
                 known = (low != high)[which]
                 at = np.flatnonzero(~known)
                 if len(at):
-                    yield frame(x[at], d[at], s[at], [[v] for v in x[at].view(np.int64)], np.zeros(len(at), np.int32))
+                    yield frame(x[at], d[at], s[at], [[v] for v in k[at].view(np.int64)], np.zeros(len(at), np.int32))
                 rep = np.flatnonzero(low != high)
                 if len(rep):
-                    yield frame(values[rep], low[rep], np.full(len(rep), -1), [[v] for v in values[rep].view(np.int64)], np.zeros(len(rep), np.int32))
+                    for ends in (low, high):
+                        yield frame(values[rep], ends[rep], np.full(len(rep), -1), [[v] for v in k[first[rep]].view(np.int64)], np.zeros(len(rep), np.int32))
                     kd, ks = d[known], s[known]
                     at = _runs(kd, ks)
                     n = np.diff(np.r_[at, len(kd)]).astype(np.int32)
@@ -165,8 +168,8 @@ def shared_spans(df: DataFrame, ident: str = "doc_id", text: str = "text", least
     Every window of `least` words is sketched by MinHash over its grams (one band of
     one row, so equal windows always collide), neighbouring windows with one sketch
     travel as one row, and windows that collide are verified by their own 64-bit hash:
-    a window is shared if the rows of its hash name two documents. One shuffle by
-    sketch, none of pairs; frequent sketches are settled before it (see _scan).
+    a window is shared if the rows of both its hashes (128 bits) name two documents. One
+    shuffle by sketch, none of pairs; frequent sketches are settled before it (see _scan).
     """
     docs = df.select(F.col(ident).cast("bigint").alias("doc"), F.col(text).alias("text")).filter("text is not null and doc is not null")
     hot = _hot_sketches(docs, least, CHUNK)

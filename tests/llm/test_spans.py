@@ -76,3 +76,15 @@ def test_very_long(spark):
     long = " ".join(f"w{i}" for i in range(900_000))
     df = spark.createDataFrame([(1, long), (2, "a " + long[5_000:])], "doc_id long, text string")
     assert spans.shared_spans(df).agg(F.count("*")).first()[0] == 2
+
+
+@pytest.mark.parametrize("hot", [1, 10**9])
+def test_hot_window_in_two_pieces_of_one_document(spark, monkeypatch, hot):
+    """A document taken in pieces holds a hot window in each, another document holds it beside the first only."""
+    monkeypatch.setattr(spans, "HOT_ROWS", hot)
+    monkeypatch.setattr(spans, "CHUNK", 12)
+    monkeypatch.setattr(spans, "HINT_SAMPLE", 1)
+    stock = "s0 s1 s2 s3"
+    rows = [(1, f"{stock} " + " ".join(f"a{k}" for k in range(14)) + f" {stock} b0 b1"), (2, f"c0 {stock} c1")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
+    assert {tuple(r) for r in spans.shared_spans(df, least=3).collect()} == brute(rows, 3)
