@@ -25,7 +25,7 @@ def p1_entities(spark: SparkSession, folder: str) -> DataFrame:
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     """Paragraphs that look unchanged, and anchors found only by their look."""
     p = records(spark, folder, "paragraphs", "pair_id", "side", "text").select(F.col("para_id").alias("id"), F.col("pair_id").alias("grp"), "side", F.col("text").alias("raw"), lookalike.canonical(F.col("text")).alias("form"))
-    p = cut(p)
+    p = cut(p.withColumn("form", F.when(F.col("form") != F.col("raw"), F.col("form")))).withColumn("form", F.coalesce("form", "raw"))
     original, revised = p.filter("side = 'original'").drop("side"), p.filter("side = 'revised'").drop("side")
     anchors = records(spark, folder, "issues", "pair_id", "anchor_text").filter("anchor_text <> ''")
     needles = anchors.select(F.col("issue_key").alias("id"), F.col("pair_id").alias("grp"), F.col("anchor_text").alias("raw"), lookalike.canonical(F.col("anchor_text")).alias("form"))
