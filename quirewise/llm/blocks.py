@@ -20,12 +20,13 @@ def large_blocks(rows: DataFrame, key: str, block: int) -> tuple[DataFrame, bool
     return large, large.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
 
 
-def block_pairs(rows: DataFrame, key: str, ident: str, block: int = 1024) -> DataFrame:
+def block_pairs(rows: DataFrame, key: str, ident: str, block: int = 1024, one_key: bool = False) -> DataFrame:
     """a, b: the pairs of ids that share a key, a < b, each once.
 
     A block above `block` rows is cut into parts by hash, and every pair of parts meets
     under a key of its own, so no task holds more than two parts of a block. Rows with
-    null keys meet nothing; repeated rows count once.
+    null keys meet nothing; repeated rows count once. With `one_key` each id has one key,
+    so no pair can meet twice and none is looked for.
     """
     rows = rows.select(key, ident).distinct()
     large, few = large_blocks(rows, key, block)
@@ -34,4 +35,5 @@ def block_pairs(rows: DataFrame, key: str, ident: str, block: int = 1024) -> Dat
     left = marked.select(key, F.col(ident).alias("a"), F.col("p").alias("i"), F.explode(F.sequence("p", F.col("parts") - 1)).alias("j"))
     right = marked.select(key, F.col(ident).alias("b"), F.col("p").alias("j"), F.explode(F.sequence(F.lit(0), F.col("p"))).alias("i"))
     met = left.join(right, [key, "i", "j"]).filter("i < j or a < b")
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return pairs if one_key else pairs.distinct()

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quirewise.llm.blocks import large_blocks
 from quirewise.llm.components import connected_components
 from quirewise.llm.shingles import mix
 from quirewise.session import cut
@@ -17,14 +18,13 @@ from quirewise.session import cut
 GROUPS = 64
 #: Rows of one block that one task compares; larger blocks are split into pairs of parts.
 BLOCK = 2048
-#: Blocks of up to so many rows are compared pair by pair, larger ones through the R-tree.
-FLAT = 64
-#: Points in a leaf of the R-tree.
+#: Points in a leaf of the R-tree. A block of up to two leaves is its own leaf: its points are compared without a tree above them.
 LEAF = 32
-#: Buckets in which shingles are counted to order them.
-BUCKETS = 1 << 20
-#: Most rows of a table of large blocks that is broadcast; beyond, it is joined by shuffle.
-MOST_BROADCAST = 100_000
+FLAT = 2 * LEAF
+#: Fewest and most buckets in which shingles are counted to order them, one byte each: four for every shingle, between these.
+BUCKETS, MOST_BUCKETS = 1 << 20, 1 << 26
+#: Buckets that come to the driver as one row.
+ROW = 1 << 16
 
 
 def words(text: Column) -> Column:
@@ -54,36 +54,52 @@ def _unpacked(column: pd.Series) -> np.ndarray:
     return out
 
 
-def _bucket(tok: np.ndarray) -> np.ndarray:
-    return (mix(tok.view(np.uint64)) % np.uint64(BUCKETS)).astype(np.int64)
+def _bucket(tok: np.ndarray, buckets: int) -> np.ndarray:
+    return (mix(tok.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+
+
+def _coded(n: np.ndarray) -> np.ndarray:
+    """Counts in one byte that keeps their order: 0 to 16 as they are, larger ones by their logarithm."""
+    return np.where(n <= 16, n, np.minimum(255, 16 + np.floor(5 * np.log2(np.maximum(n, 16) / 16)))).astype(np.uint8)
 
 
 def _bucket_counts(classes: DataFrame) -> np.ndarray:
-    """How many (class, shingle) rows fall in each of BUCKETS buckets of shingles, over all classes.
+    """How many (class, shingle) rows fall in each bucket of shingles, over all classes, coded in one byte each.
 
-    A table of fixed size, whatever the corpus: each task adds up its own rows, the sums
-    meet by bucket, and come to the driver as one block for each 4096 buckets. It orders
-    shingles from rare to frequent; any order gives the same result.
+    A table of at most MOST_BUCKETS bytes, whatever the corpus: each task adds up its own
+    rows, the sums meet by bucket, and come to the driver as blocks of bytes. It orders
+    shingles from rare to frequent, and tells those that no other class holds; any order
+    gives the same result.
     """
+    total = classes.agg(F.sum(F.size("sh"))).first()[0] or 0
+    buckets = min(MOST_BUCKETS, max(BUCKETS, 1 << int(4 * total).bit_length()))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(BUCKETS, np.int64)
+        held, size = [], 0
         for pdf in batches:
             if len(pdf):
-                total += np.bincount(_bucket(np.concatenate([np.asarray(x, dtype=np.int64) for x in pdf["sh"]])), minlength=BUCKETS)
-        at = np.flatnonzero(total)
-        yield pd.DataFrame({"bucket": at.astype(np.int32), "n": total[at]})
+                held.append(_bucket(np.concatenate([np.asarray(x, dtype=np.int64) for x in pdf["sh"]]), buckets))
+                size += len(held[-1])
+            if size > 1 << 23:
+                yield summed(held)
+                held, size = [], 0
+        if held:
+            yield summed(held)
+
+    def summed(held: list[np.ndarray]) -> pd.DataFrame:
+        at, n = np.unique(np.concatenate(held), return_counts=True)
+        return pd.DataFrame({"bucket": at.astype(np.int32), "n": n})
 
     def block(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        out = np.zeros(4096, np.int64)
-        out[pdf["bucket"].to_numpy() % 4096] = pdf["n"].to_numpy()
+        out = np.zeros(ROW, np.uint8)
+        out[pdf["bucket"].to_numpy() % ROW] = _coded(pdf["n"].to_numpy())
         return pd.DataFrame({"part": [key[0]], "block": [out.tobytes()]})
 
     sums = classes.select("sh").mapInPandas(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
-    blocks = sums.withColumn("part", F.floor(F.col("bucket") / 4096).cast("int")).groupBy("part").applyInPandas(block, "part int, block binary").collect()
-    table = np.zeros((-(-BUCKETS // 4096), 4096), np.int64)
+    blocks = sums.withColumn("part", F.floor(F.col("bucket") / ROW).cast("int")).groupBy("part").applyInPandas(block, "part int, block binary").collect()
+    table = np.zeros((buckets // ROW, ROW), np.uint8)
     for r in blocks:
-        table[r["part"]] = np.frombuffer(r["block"], np.int64)
+        table[r["part"]] = np.frombuffer(r["block"], np.uint8)
     return table.reshape(-1)
 
 
@@ -213,7 +229,7 @@ def near_copies(df: DataFrame, ident: str, text: str, k: int = 5, num: int = 4,
         for pdf in batches:
             n = pdf["sh"].map(len).to_numpy().astype(np.int64)
             tok, owner = np.concatenate([np.asarray(x, dtype=np.int64) for x in pdf["sh"]]), np.repeat(np.arange(len(pdf)), n)
-            weight = weights.value[_bucket(tok)]
+            weight = weights.value[_bucket(tok, len(weights.value))]
             order = np.lexsort((tok, weight, owner))
             pos = np.arange(len(tok)) - np.repeat(np.cumsum(n) - n, n)
             # What no other class can hold meets nobody; it keeps its place.
@@ -224,9 +240,8 @@ def near_copies(df: DataFrame, ident: str, text: str, k: int = 5, num: int = 4,
 
     compact = cut(classes.filter(F.size("sh") > 0).mapInPandas(prefixes, "cls binary, n int, toks array<long>, places array<int>, vec binary"))
     rows = compact.select("cls", "n", "vec", F.inline(F.arrays_zip(F.col("toks").alias("tok"), F.col("places").alias("pos")))).select("tok", "cls", "n", "pos", "vec")
-    # Blocks above BLOCK rows, at most one for every BLOCK rows there are, are told apart before anything moves.
-    large = cut(rows.groupBy("tok").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > BLOCK).select("tok", F.ceil(F.col("m") / BLOCK).cast("int").alias("parts")))
-    few = large.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
+    # Blocks above BLOCK rows are told apart before anything moves.
+    large, few = large_blocks(rows, "tok", BLOCK)
     marked = rows.join(F.broadcast(large) if few else large, "tok", "left")
     small = marked.filter("parts is null").select("tok", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("part"), "cls", "n", "pos", "vec")
     split = marked.filter("parts is not null").withColumn("part", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
@@ -241,8 +256,16 @@ def near_copies(df: DataFrame, ident: str, text: str, k: int = 5, num: int = 4,
 
 
 def near_groups(members: DataFrame, links: DataFrame, ident: str) -> DataFrame:
-    """ident, cls, grp, n_links: each record with its class, its group (connected classes) and the links of its class."""
-    whole = connected_components(links)
-    ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
-    of = whole.join(ends, "node").withColumnRenamed("node", "cls")
-    return members.join(of, "cls", "left").select(ident, F.hex("cls").alias("cls"), F.hex(F.coalesce("component", "cls")).alias("grp"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    """ident, cls, grp, n_links: each record with its class, its group (connected classes) and the links of its class.
+
+    Classes and groups are named by their smallest record. A record alone is its own class
+    and group, with no links.
+    """
+    reps = members.groupBy("cls").agg(F.min(ident).alias("rep"))
+    end = lambda c: reps.select(F.col("cls").alias(c), F.col("rep").alias(f"r{c}"))
+    named = cut(links.join(end("a"), "a").join(end("b"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b")))
+    whole = connected_components(named)
+    n_links = named.select(F.col("a").alias("node")).unionByName(named.select(F.col("b").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
+    of = reps.join(whole.join(n_links, "node").withColumnRenamed("node", "rep"), "rep", "left")
+    of = of.select(F.col("cls").alias("_cls"), "rep", F.coalesce("component", "rep").alias("grp"), F.coalesce("n_links", F.lit(0).cast("bigint")).alias("n_links"))
+    return members.join(of, F.col("cls") == F.col("_cls")).select(ident, F.col("rep").alias("cls"), "grp", "n_links")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirewise.llm import lookalike, mixing, names, nearcopies, packing, spans, tokens
+from quirewise.llm.blocks import block_pairs
 from quirewise.session import cut
 from quirewise.sources.tables import records, table
 
@@ -41,7 +42,8 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     members = cut(members)
     a = members.select(F.col("issue_key").alias("x"), F.col("cls").alias("a"))
     b = members.select(F.col("issue_key").alias("y"), F.col("cls").alias("b"))
-    copies = a.join(b, F.col("a") == F.col("b")).filter("x < y").select("x", "y")
+    # The table's form asks for all pairs, of copies too; a text that many requests share is split.
+    copies = block_pairs(members, "cls", "issue_key", one_key=True).select(F.col("a").alias("x"), F.col("b").alias("y"))
     similar = links.join(a, "a").join(b, "b").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
     close = copies.unionByName(similar).withColumn("close", F.lit(True))
     said = issues.select(F.col("issue_key").alias("from"), "pair_id", F.explode("possible_duplicates").alias("id")).distinct()
@@ -129,6 +131,15 @@ d AS (SELECT DISTINCT least(a.issue_key, b.issue_key) AS x, greatest(a.issue_key
   FROM (SELECT issue_key, pair_id, unnest(possible_duplicates) AS o FROM s) a JOIN s b ON a.pair_id = b.pair_id AND a.o = b.id AND a.issue_key <> b.issue_key)
 SELECT coalesce(c.x, d.x) AS issue_a, coalesce(c.y, d.y) AS issue_b, CASE WHEN c.x IS NULL THEN 'wrong' WHEN d.x IS NULL THEN 'unlisted' ELSE 'listed' END AS kind
 FROM c FULL JOIN d ON c.x = d.x AND c.y = d.y
+""",
+    "p4_groups": r"""
+WITH RECURSIVE i AS (SELECT DISTINCT issue_key, regexp_extract_all(lower(comment_text), '[\p{L}\p{N}]+') AS w FROM issues),
+s AS (SELECT issue_key, list_sort(list_distinct([w[k] || ' ' || w[k + 1] || ' ' || w[k + 2] for k in range(1, len(w) - 1)])) AS sh FROM i WHERE len(w) >= 8),
+m AS (SELECT issue_key, sh, min(issue_key) OVER (PARTITION BY sh) AS cls FROM s),
+t AS (SELECT issue_key AS cls, unnest(sh) AS g, len(sh) AS n FROM m WHERE issue_key = cls),
+l AS (SELECT a.cls AS a, b.cls AS b FROM t a JOIN t b ON a.g = b.g AND a.cls <> b.cls GROUP BY ALL HAVING 2 * count(*) >= any_value(a.n) + any_value(b.n) - count(*)),
+w AS (SELECT DISTINCT cls AS node, cls AS met FROM m UNION SELECT w.node, l.b FROM w JOIN l ON l.a = w.met)
+SELECT m.issue_key, m.cls, g.grp, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links FROM m JOIN (SELECT node, min(met) AS grp FROM w GROUP BY node) g ON g.node = m.cls LEFT JOIN (SELECT a, count(*) AS n FROM l GROUP BY a) n ON n.a = m.cls
 """,
     "p8_found": r"""
 WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM documents),

@@ -4,7 +4,7 @@ import re
 import numpy as np
 import pytest
 
-from quirewise.llm import nearcopies
+from quirewise.llm import blocks, nearcopies
 
 
 def closeness(a, b, k):
@@ -33,7 +33,7 @@ def texts(seed, n=160):
 def test_links_against_brute_force(spark, monkeypatch, k, num, den, block, flat, broadcast):
     monkeypatch.setattr(nearcopies, "BLOCK", block)
     monkeypatch.setattr(nearcopies, "FLAT", flat)
-    monkeypatch.setattr(nearcopies, "MOST_BROADCAST", broadcast)
+    monkeypatch.setattr(blocks, "MOST_BROADCAST", broadcast)
     rows = [(i, t, "clash") for i, t in enumerate(texts(k * 10 + den))]
     rows += [(900, None, "x"), (901, "", "x"), (902, "too short", "x"), (903, rows[0][1].upper() + "!", "x"), (None, rows[1][1], "x")]
     df = spark.createDataFrame(rows, "id long, text string, cls string")
