@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Parts by hash of each size class; with at most 64 classes they bound the table of prefix sums.
-PARTS = 256
+#: Least parts by hash of each size class, and documents for each part beyond: so a cell that is numbered by itself stays small however
+#: much a source holds, and the table of prefix sums has about a row for every CELL documents.
+PARTS, CELL = 256, 1_000_000
 
 
 def mix(items: DataFrame, targets: DataFrame, seed: int = 0, ident: str = "doc_id", source: str = "source", size: str = "n_tokens") -> tuple[DataFrame, DataFrame]:
@@ -15,7 +16,7 @@ def mix(items: DataFrame, targets: DataFrame, seed: int = 0, ident: str = "doc_i
     `targets` (few rows) has source, target_share, max_repeats. The total is the largest
     at which every source with documents can give its share, shares being scaled to
     those sources; a source that could not give its share with max_repeats copies of
-    each document thus limits the total, and a source has e expected copies of each of its documents.
+    each document thus limits the total (the smallest source for its share sets it), and a source has e expected copies of each of its documents.
     Sampling is systematic: documents lie in order of size class, part and size within
     their source, expected copies are summed along that order, one random offset is
     added, and a document is emitted once for each integer boundary it crosses, so it
@@ -30,13 +31,14 @@ def mix(items: DataFrame, targets: DataFrame, seed: int = 0, ident: str = "doc_i
     values). Other columns are ignored; empty inputs give empty results.
 
     Prefix sums need no global order: counts by (source, size class, part) form a
-    bounded table with running sums, and within one part rows are numbered apart.
+    small table with running sums, and within one part rows are numbered apart.
     """
     spread = F.xxhash64(F.lit(seed), F.col(ident))
     goal = targets.filter("source is not null").groupBy("source").agg(F.max(F.greatest(F.coalesce("target_share", F.lit(0.0)), F.lit(0.0))).alias("target_share"), F.max(F.coalesce("max_repeats", F.lit(1))).alias("max_repeats"))
     docs = items.select(F.col(ident).alias("doc_id"), F.col(source).alias("source"), F.col(size).cast("bigint").alias("n_tokens"), spread.alias("h")).filter("n_tokens > 0 and source is not null")
     docs = docs.join(F.broadcast(goal.select("source")), "source", "left_semi") if _small(goal) else docs.join(goal.select("source"), "source", "left_semi")
-    docs = docs.withColumns({"class": F.floor(F.log2("n_tokens") * 2).cast("int"), "part": F.pmod("h", F.lit(PARTS)).cast("int")})
+    parts = max(PARTS, -(-docs.count() // CELL))
+    docs = docs.withColumns({"class": F.floor(F.log2("n_tokens") * 2).cast("int"), "part": F.pmod("h", F.lit(parts)).cast("int")})
     cells = docs.groupBy("source", "class", "part").agg(F.count(F.lit(1)).alias("n"), F.sum("n_tokens").alias("t"))
     totals = goal.join(cells.groupBy("source").agg(F.sum("n").alias("n_docs"), F.sum("t").alias("available")), "source", "left").withColumns({"n_docs": F.coalesce("n_docs", F.lit(0)), "available": F.coalesce("available", F.lit(0))})
     live = F.when((F.col("available") > 0) & (F.col("target_share") > 0), F.col("target_share"))

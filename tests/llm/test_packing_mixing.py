@@ -120,3 +120,14 @@ def test_mix_empty_and_ties(spark):
     chosen, shares = mixing.mix(same.limit(0), targets)
     assert chosen.count() == 0 and shares.first()["actual_share"] == 0.0
     assert mixing.mix(same, targets.limit(0))[0].count() == 0
+
+
+def test_mix_in_many_parts(spark, monkeypatch):
+    """More parts change which documents are drawn, not how much of each source."""
+    items = spark.range(3000).selectExpr("id doc_id", "if(id % 3 = 0, 'a', 'b') source", "id % 97 + 1 n_tokens")
+    targets = spark.createDataFrame([("a", 0.6, 1), ("b", 0.4, 1)], "source string, target_share double, max_repeats int")
+    shares = []
+    for cell in (1_000_000, 5):
+        monkeypatch.setattr(mixing, "CELL", cell)
+        shares.append({r["source"]: r["actual_share"] for r in mixing.mix(items, targets)[1].collect()})
+    assert all(abs(s["a"] - 0.6) < 0.01 for s in shares)
