@@ -2,6 +2,7 @@
 
 import random
 from difflib import SequenceMatcher
+from itertools import product
 
 import pytest
 
@@ -73,7 +74,18 @@ def plain_changes(o, r):
     done, lefts, rights = plain_match(o, r)
     found, rest_o, rest_r = {}, [], []
     of = lambda rows, s: [x for x in rows if x[6] == s]
-    near = lambda a, b, least, wide: R._near_paragraphs([(x[3], T.plain(x[3]), R._bag(x[3])) for x in a], [(x[3], T.plain(x[3]), R._bag(x[3])) for x in b], least, wide)
+    bag = lambda t: {w for w in T.plain_tokens(t) if w not in T.STOPWORDS}
+
+    def near(a, b, least, wide):
+        """Every pair is compared."""
+        out = []
+        for (i, x), (j, y) in product(enumerate(x[3] for x in a), enumerate(y[3] for y in b)):
+            m, n = sorted((len(T.plain(x)), len(T.plain(y))))
+            p, q = bag(x), bag(y)
+            far = not wide and (len(p & q) / len(p | q) if p and q else float(p == q)) < R.OVERLAP
+            if not far and not (m and m / n < R.SHORTEST) and (s := T.token_ratio(x, y)) >= least:
+                out.append((i, j, s))
+        return out
 
     def greedy(a, b, pairs):
         used_a, used_b, out = set(), set(), []
