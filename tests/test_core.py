@@ -100,14 +100,26 @@ def test_parse(spark):
     assert (r[4]["since_year"], r[4]["until_year"], r[4]["destination_section"]) == (2010, 2015, "3")
 
 
-def test_split():
-    assert Q.split_request("Please define the scale and explain the sampling. Also fine.") == ["Define the scale", "Explain the sampling"]
-    assert Q.split_request("Discuss validity and reliability.") == []
-    assert Q.split_request("Explain and justify the choice.") == ["Explain the choice", "Justify the choice"]
-    assert Q.split_request("Please (1) add a table; (2) remove the figure") == ["Add a table", "Remove the figure"]
-    assert len(Q.split_request(", ".join(["add x"] * 20))) == 8 and Q.split_request("") == []
-    assert Q.concept_groups("Discuss validity and reliability") == ["validity", "reliability"]
-    assert Q.split_request("add " * 50_000) == []
+def test_split(spark):
+    cases = {
+        "Please define the scale and explain the sampling. Also fine.": ["Define the scale", "Explain the sampling"],
+        "Discuss validity and reliability.": [],
+        "Explain and justify the choice.": ["Explain the choice", "Justify the choice"],
+        "Please (1) add a table; (2) remove the figure": ["Add a table", "Remove the figure"],
+        "In chapter two: 1. define terms 2. the scale 3. add notes.": ["Define terms", "Add notes"],
+        "Please please could you please define a, then cite b, and then remove c!": ["Define a", "Cite b", "Remove c"],
+        ", ".join(["add x"] * 20): ["Add x"] * 20,
+        "": [],
+        "add " * 50_000: [],
+    }
+    rows = spark.createDataFrame([(t,) for t in (*cases, None)], "t string").select("t", Q.decompose(F.col("t")).alias("parts")).collect()
+    assert {r["t"]: r["parts"] for r in rows} == cases | {None: []}
+
+
+def test_concepts(spark):
+    cases = {"Discuss validity and reliability": ["validity", "reliability"], "Discuss validity": [], "Please define scale, order & range of the test": ["scale", "order", "range"], "Discuss the of and reliability": [], "": []}
+    rows = spark.createDataFrame([(t,) for t in (*cases, None)], "t string").select("t", Q.concepts(F.col("t")).alias("c")).collect()
+    assert {r["t"]: r["c"] for r in rows} == cases | {None: []}
 
 
 def test_guard(spark):
