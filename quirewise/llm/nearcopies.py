@@ -21,8 +21,8 @@ BLOCK = 2048
 #: Points in a leaf of the R-tree. A block of up to two leaves is its own leaf: its points are compared without a tree above them.
 LEAF = 32
 FLAT = 2 * LEAF
-#: Fewest and most buckets in which shingles are counted to order them, one byte each: four for every shingle, between these.
-BUCKETS, MOST_BUCKETS = 1 << 20, 1 << 26
+#: Buckets in which shingles are counted to order them, one byte each.
+BUCKETS = 1 << 20
 #: Buckets that come to the driver as one row.
 ROW = 1 << 16
 
@@ -66,13 +66,12 @@ def _coded(n: np.ndarray) -> np.ndarray:
 def _bucket_counts(classes: DataFrame) -> np.ndarray:
     """How many (class, shingle) rows fall in each bucket of shingles, over all classes, coded in one byte each.
 
-    A table of at most MOST_BUCKETS bytes, whatever the corpus: each task adds up its own
+    A table of BUCKETS bytes, whatever the corpus: each task adds up its own
     rows, the sums meet by bucket, and come to the driver as blocks of bytes. It orders
     shingles from rare to frequent, and tells those that no other class holds; any order
     gives the same result.
     """
-    total = classes.agg(F.sum(F.size("sh"))).first()[0] or 0
-    buckets = min(MOST_BUCKETS, max(BUCKETS, 1 << int(4 * total).bit_length()))
+    buckets = BUCKETS
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, size = [], 0
