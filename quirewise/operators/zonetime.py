@@ -19,6 +19,8 @@ DAY = 86_400_000_000
 FIRST_YEAR, LAST_YEAR = 1900, 2500
 #: Days between looks at a zone's clock after the last change its file lists, where a yearly rule goes on; the rule's two spells of a year are longer.
 STEP_DAYS = 5
+#: Last year covered for zones of no office in a stream, where all zones are taken.
+LAST_YEAR_OF_STREAMS = 2100
 #: The first wall-clock instant that the table of intervals covers.
 _FIRST_US = -25_567 * DAY
 
@@ -242,7 +244,9 @@ def to_utc(df: DataFrame, offices: DataFrame, text: str = "date", office: str =
     office without date_order are `invalid` unless the year comes first. The input's other
     columns are kept; names starting with an underscore and `_q_` are reserved. Repeated
     rows each get their result. Zones named in brackets are gathered in a pass over the
-    text column of `texts`, by default df; give the stored table where df is costly.
+    text column of `texts`, by default df; give the stored table where df is costly. Of a
+    stream, which cannot be looked through beforehand, all known zones are taken, those of
+    no office up to 2100.
     """
     spark = df.sparkSession
     small = offices.groupBy(F.col("office").alias("_q_office")).agg(F.min("tz").alias("_q_tz"), F.min("date_order").alias("_q_order"))
@@ -250,8 +254,14 @@ def to_utc(df: DataFrame, offices: DataFrame, text: str = "date", office: str =
     x = df.join(F.broadcast(small), F.col(office) == F.col("_q_office"), "left")
     x = parse_stamp(x, text, "_q_order")
     named = F.regexp_extract(F.col(text), r"\[([A-Za-z0-9_+\-/]+)\]", 1)
-    regions = (df if texts is None else texts).filter(F.col(text).contains("[")).select(named.alias("tz")).distinct()
-    intervals = cut(zone_intervals(spark, small.select(F.col("_q_tz").alias("tz")).unionByName(regions)))
+    own = small.select(F.col("_q_tz").alias("tz"))
+    given_texts = df if texts is None else texts
+    if given_texts.isStreaming:
+        others = spark.createDataFrame([(z,) for z in sorted(zoneinfo.available_timezones())], "tz string").repartition(spark.sparkContext.defaultParallelism).join(own, "tz", "left_anti")
+        intervals = cut(zone_intervals(spark, own).unionByName(zone_intervals(spark, others, last=LAST_YEAR_OF_STREAMS)))
+    else:
+        regions = given_texts.filter(F.col(text).contains("[")).select(named.alias("tz")).distinct()
+        intervals = cut(zone_intervals(spark, own.unionByName(regions)))
     zone = F.col("_stamp.zone")
     digits = F.regexp_replace(zone, "[^0-9]", "")
     hours, minutes = F.substring(digits, 1, 2).try_cast("bigint"), F.coalesce(F.substring(digits, 3, 2).try_cast("bigint"), F.lit(0))
