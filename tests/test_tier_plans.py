@@ -1,5 +1,6 @@
 """Lookups of many tiers settle each tier by itself: what is left to plan at the end joins nothing."""
 
+from quirewise.operators import facts as A
 from quirewise.operators import locate as L
 from quirewise.operators import requests as Q
 from quirewise.operators import revision as R
@@ -26,3 +27,12 @@ def test_targets(spark):
     got = L.locate_targets(requests(spark), p, R.section_tree(p))
     assert joins(got) == 0
     assert {(x["issue_id"], x["tier"], x["section_id"]) for x in got.collect()} == {("1", "C", "S1"), ("2", "E", "S1")}
+
+
+def test_tracked_evidence(spark):
+    x = spark.createDataFrame([("P", "1", ["spring"]), ("P", "2", ["autumn"])], "pair_id string, issue_id string, terms array<string>")
+    scopes = spark.createDataFrame([("P", "1", "S1")], "pair_id string, issue_id string, in_section string")
+    tracked = spark.createDataFrame([("P", "revised", "S1", 4, "insertion", "body", "in spring and autumn")], "pair_id string, side string, section_id string, ord int, kind string, story string, text string")
+    got = A.tracked_evidence(x, scopes, x.filter("issue_id = '2'").select("pair_id", "issue_id"), tracked)
+    assert joins(got) == 0
+    assert {tuple(r) for r in got.collect()} == {("P", "1", 1, 4, "in spring and autumn"), ("P", "2", 1, 4, "in spring and autumn")}
