@@ -38,7 +38,7 @@ def value_facts(requests: DataFrame, texts: DataFrame) -> DataFrame:
     j = _asked(requests).join(texts, ["pair_id", "issue_id"]).withColumns({"n": T.numbers_in(F.col("text")), "t": T.normalize(F.col("text"))})
     count = lambda c: F.when(F.col(c).isNull() | (F.col(c) == ""), 0).when(F.col("is_number"), F.size(F.filter("n", lambda y: y == F.col(c)))).otherwise(_whole("t", F.col(c)))
     at = lambda c, side: F.sum(F.when(F.col("side") == side, count(c)).otherwise(0))
-    return j.groupBy("pair_id", "issue_id").agg(at("old", "original").alias("old_before"), at("old", "revised").alias("old_after"), at("new", "original").alias("new_before"), at("new", "revised").alias("new_after"))
+    return cut(j.groupBy("pair_id", "issue_id").agg(at("old", "original").alias("old_before"), at("old", "revised").alias("old_after"), at("new", "original").alias("new_before"), at("new", "revised").alias("new_after")))
 
 
 def whole_value_facts(requests: DataFrame, paragraphs: DataFrame) -> DataFrame:
@@ -47,17 +47,19 @@ def whole_value_facts(requests: DataFrame, paragraphs: DataFrame) -> DataFrame:
     Every value asked for is counted once for each pair and side, not once for each
     request; numbers meet by equality, other wording through find_texts.
     """
-    x = _asked(requests)
+    x = kept(_asked(requests))
     v = x.select("pair_id", "is_number", F.explode(F.array("old", "new")).alias("v")).filter("v <> ''").distinct()
+    v = cut(v)
     numbers = v.filter("is_number").join(paragraphs.select("pair_id", "side", F.explode(T.numbers_in(F.col("text"))).alias("v")), ["pair_id", "v"]).withColumn("c", F.lit(1))
     counted = numbers.select("pair_id", "is_number", "v", "side", "c")
     wording = v.filter("not is_number").select("pair_id", F.col("v").alias("needle_id"), F.col("v").alias("norm"))
     for side in ("original", "revised"):
         p = paragraphs.filter(F.col("side") == side).select("pair_id", "number", T.normalize(F.col("text")).alias("norm"), T.tokens(F.col("text")).alias("words"))
+        p = kept(p)
         hit = find_texts(wording, p).join(p.select("pair_id", "number", "norm"), ["pair_id", "number"])
-        counted = counted.unionByName(hit.select("pair_id", F.lit(False).alias("is_number"), F.col("needle_id").alias("v"), F.lit(side).alias("side"), _whole("norm", F.col("needle_id")).alias("c")))
+        counted = counted.unionByName(cut(hit.select("pair_id", F.lit(False).alias("is_number"), F.col("needle_id").alias("v"), F.lit(side).alias("side"), _whole("norm", F.col("needle_id")).alias("c"))))
     at = lambda side: F.sum(F.when(F.col("side") == side, F.col("c")).otherwise(0))
-    totals = counted.groupBy("pair_id", "is_number", "v").agg(at("original").alias("before"), at("revised").alias("after"))
+    totals = cut(counted.groupBy("pair_id", "is_number", "v").agg(at("original").alias("before"), at("revised").alias("after")))
     for c in ("old", "new"):
         x = x.join(totals.select("pair_id", "is_number", F.col("v").alias(c), F.col("before").alias(f"{c}_before"), F.col("after").alias(f"{c}_after")), ["pair_id", "is_number", c], "left")
     return x.select("pair_id", "issue_id", "old_before", "old_after", "new_before", "new_after").na.fill(0)

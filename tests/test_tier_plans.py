@@ -36,3 +36,11 @@ def test_tracked_evidence(spark):
     got = A.tracked_evidence(x, scopes, x.filter("issue_id = '2'").select("pair_id", "issue_id"), tracked)
     assert joins(got) == 0
     assert {tuple(r) for r in got.collect()} == {("P", "1", 1, 4, "in spring and autumn"), ("P", "2", 1, 4, "in spring and autumn")}
+
+
+def test_values_in_the_place(spark):
+    x = Q.parse_request(spark.createDataFrame([("P", "1", "It should be 396, not 384.")], "pair_id string, issue_id string, comment_text string"), "comment_text")
+    texts = spark.createDataFrame([("P", "1", "original", 1, "384 fish"), ("P", "1", "revised", 1, "396 fish")], "pair_id string, issue_id string, side string, number int, text string")
+    got = A.value_facts(x, texts)
+    assert joins(got) == 0
+    assert [tuple(r) for r in got.collect()] == [("P", "1", 1, 0, 0, 1)]
