@@ -30,7 +30,7 @@ def test_targets(spark):
 
 
 def test_tracked_evidence(spark):
-    x = spark.createDataFrame([("P", "1", ["spring"]), ("P", "2", ["autumn"])], "pair_id string, issue_id string, terms array<string>")
+    x = spark.createDataFrame([("P", "1", ["spr"]), ("P", "2", ["autumn"])], "pair_id string, issue_id string, terms array<string>")
     scopes = spark.createDataFrame([("P", "1", "S1")], "pair_id string, issue_id string, in_section string")
     tracked = spark.createDataFrame([("P", "revised", "S1", 4, "insertion", "body", "in spring and autumn")], "pair_id string, side string, section_id string, ord int, kind string, story string, text string")
     got = A.tracked_evidence(x, scopes, x.filter("issue_id = '2'").select("pair_id", "issue_id"), tracked)
@@ -44,3 +44,11 @@ def test_values_in_the_place(spark):
     got = A.value_facts(x, texts)
     assert joins(got) == 0
     assert [tuple(r) for r in got.collect()] == [("P", "1", 1, 0, 0, 1)]
+
+
+def test_changes_meet_requests_without_texts(spark):
+    rows = [("P", 1, 1, "modified", True, "One fish.", "One fish. Two new herrings swim.", "Two new herrings swim."), ("P", None, 2, "added", False, None, "A new end.", "A new end."), ("P", 3, None, "removed", False, "Gone.", None, "")]
+    d = spark.createDataFrame(rows, "pair_id string, original int, revised int, kind string, text_changed boolean, original_text string, revised_text string, added_text string")
+    got = L.measured_units(d)
+    assert "revised_text" not in got.columns and {x["kind"]: x["unit_words"] for x in got.collect()} == {"modified": 4, "added": 3, "removed": None}
+    assert [tuple(x) for x in L.scope_counts(got, ["pair_id"]).collect()] == [("P", 1, 1, 1, 0, 2, 7)] == [tuple(x) for x in L.scope_counts(d, ["pair_id"]).collect()]
