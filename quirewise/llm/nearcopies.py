@@ -12,17 +12,22 @@ from pyspark.sql import functions as F
 from quirewise.llm.blocks import large_blocks
 from quirewise.llm.components import connected_components
 from quirewise.llm.shingles import mix
-from quirewise.session import cut
+from quirewise.session import cut, kept
 
 #: Groups into which shingles are hashed: the dimensions of the count vectors.
 GROUPS = 64
 #: Rows of one block that one task compares; larger blocks are split into pairs of parts.
-BLOCK = 2048
+BLOCK = 1 << 14
 #: Points in a leaf of the R-tree. A block of up to two leaves is its own leaf: its points are compared without a tree above them.
 LEAF = 32
 FLAT = 2 * LEAF
-#: Buckets in which shingles are counted to order them, one byte each.
-BUCKETS = 1 << 20
+#: Counts of a group that are kept as bits, one each; sets above WIDE shingles, whose counts are larger, carry their vector too.
+STEPS = 3
+WIDE = GROUPS * STEPS
+#: Pairs of rows of a block that are looked at together.
+AT_ONCE = 1 << 20
+#: Buckets in which shingles are counted to order them, one byte each: least and most.
+BUCKETS, MOST_BUCKETS = 1 << 20, 1 << 24
 #: Buckets that come to the driver as one row.
 ROW = 1 << 16
 
@@ -34,8 +39,8 @@ def words(text: Column) -> Column:
 
 def shingles(tokens: Column, k: int) -> Column:
     """Sorted distinct 64-bit hashes of all runs of k tokens; empty where there are fewer."""
-    run = F.transform(F.sequence(F.lit(1), F.size(tokens) - (k - 1)), lambda i: F.xxhash64(F.slice(tokens, i, k)))
-    return F.when(F.size(tokens) >= k, F.array_sort(F.array_distinct(run))).otherwise(F.expr("cast(array() as array<bigint>)"))
+    run = F.transform(F.sequence(F.lit(0), F.size(tokens) - k), lambda i: F.xxhash64(*[F.get(tokens, i + j) for j in range(k)]))
+    return F.when(F.size(tokens) >= k, F.sort_array(F.array_distinct(run))).otherwise(F.expr("cast(array() as array<bigint>)"))
 
 
 def _packed(v: np.ndarray) -> bytes:
@@ -63,15 +68,20 @@ def _coded(n: np.ndarray) -> np.ndarray:
     return np.where(n <= 16, n, np.minimum(255, 16 + np.floor(5 * np.log2(np.maximum(n, 16) / 16)))).astype(np.uint8)
 
 
+def _buckets(classes: int) -> int:
+    """Four buckets a class, within the bounds: too few would mix rare shingles with frequent ones, and blocks of frequent ones are large."""
+    return min(MOST_BUCKETS, max(BUCKETS, 1 << (4 * classes).bit_length()))
+
+
 def _bucket_counts(classes: DataFrame) -> np.ndarray:
     """How many (class, shingle) rows fall in each bucket of shingles, over all classes, coded in one byte each.
 
-    A table of BUCKETS bytes, whatever the corpus: each task adds up its own
+    A table of MOST_BUCKETS bytes at most, whatever the corpus: each task adds up its own
     rows, the sums meet by bucket, and come to the driver as blocks of bytes. It orders
     shingles from rare to frequent, and tells those that no other class holds; any order
     gives the same result.
     """
-    buckets = BUCKETS
+    buckets = _buckets(classes.count())
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, size = [], 0
@@ -139,60 +149,86 @@ def _search(qv: np.ndarray, qn: np.ndarray, pv: np.ndarray, pn: np.ndarray, num:
     return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, int), np.zeros(0, int))
 
 
+def _bits(v: np.ndarray) -> list[np.ndarray]:
+    """Count vectors as STEPS words of GROUPS bits each: the groups that hold at least 1, 2, ... shingles."""
+    return [np.packbits(v >= k, axis=1, bitorder="little").view(np.uint64).reshape(-1) for k in range(1, STEPS + 1)]
+
+
+def _meeting(block: np.ndarray, n: np.ndarray, rest: np.ndarray, side: np.ndarray, bits: list[np.ndarray], num: int, den: int, skip: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of one block that may be alike, as positions; rows are sorted by block, then size n.
+
+    `rest` counts the shingles from the block's on, in the order from rare to frequent.
+    Two alike sets are found in the block of their first common shingle, so what they share
+    lies in the rest of both. For the smaller one, its size and rest leave a range of sizes,
+    which is a stretch of rows; only these are looked at, in steps of AT_ONCE pairs, and
+    the rest of the larger one and the count vectors bound the overlap. Rows of side 1 meet
+    those of side 2 only; rows to skip do not meet each other.
+    """
+    n, rest = n.astype(np.int64), rest.astype(np.int64)
+    span = int(n.max(initial=0)) + 1
+    key = block * span + n
+    top = np.minimum(n * den // num, rest * (den + num) // num - n)
+    after = np.arange(1, len(n) + 1)
+    count = np.maximum(0, np.searchsorted(key, block * span + np.minimum(top, span - 1), "right") - after)
+    over = rest * (den + num) - num * n
+    extra = n - sum(np.bitwise_count(x).astype(np.int64) for x in bits)
+    ends = np.cumsum(count)
+    left, right, lo = [], [], 0
+    while lo < len(n):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + AT_ONCE, "right")))
+        c = count[lo:hi]
+        a = np.repeat(np.arange(lo, hi), c)
+        b = np.arange(len(a)) + np.repeat(after[lo:hi] - (np.cumsum(c) - c), c)
+        ok = (over[b] >= num * n[a]) & ((side[a] != side[b]) | (side[a] == 0)) & ~(skip[a] & skip[b])
+        a, b = a[ok], b[ok]
+        common = np.minimum(extra[a], extra[b])
+        for x in bits:
+            common += np.bitwise_count(x[a] & x[b])
+        ok = _meets(common, n[a], n[b], num, den)
+        left.append(a[ok])
+        right.append(b[ok])
+        lo = hi
+    return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, int), np.zeros(0, int))
+
+
 def _candidates(num: int, den: int, flat: int):
-    """mapInPandas function: rows sorted by block -> pairs that survive size, position and count-vector bounds."""
+    """mapInPandas function: rows sorted by block and size -> pairs that survive size, position and count-vector bounds."""
 
     def of(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids = pdf["cls"].to_numpy()
-        n, pos = pdf["n"].to_numpy().astype(np.int64), pdf["pos"].to_numpy().astype(np.int64)
-        part = pdf["part"].to_numpy()
-        vec = _unpacked(pdf["vec"])
-        first = np.r_[True, (pdf["tok"].to_numpy()[1:] != pdf["tok"].to_numpy()[:-1]) | (pdf["i"].to_numpy()[1:] != pdf["i"].to_numpy()[:-1]) | (pdf["j"].to_numpy()[1:] != pdf["j"].to_numpy()[:-1])]
+        ids, n, side = pdf["no"].to_numpy(), pdf["n"].to_numpy().astype(np.int64), pdf["side"].to_numpy()
+        tok = pdf["tok"].to_numpy()
+        first = np.r_[True, tok[1:] != tok[:-1]]
         block = np.cumsum(first) - 1
-        size = np.bincount(block)
-        cross = pdf["i"].to_numpy() != pdf["j"].to_numpy()
-        small = (size[block] <= flat) & ~cross
-        left, right = [], []
-        at = np.flatnonzero(small)
-        for d in range(1, flat):
-            a, b = at[:-d], at[d:]
-            same = block[a] == block[b]
-            if not same.any():
-                break
-            a, b = a[same], b[same]
-            rest = 1 + np.minimum(n[a] - pos[a], n[b] - pos[b]) + np.minimum(pos[a], pos[b])
-            ok = (np.minimum(n[a], n[b]) * den >= num * np.maximum(n[a], n[b])) & _meets(rest, n[a], n[b], num, den)
-            a, b = a[ok], b[ok]
-            ok = _meets(np.minimum(vec[a], vec[b]).sum(1, dtype=np.int64), n[a], n[b], num, den)
-            left.append(a[ok])
-            right.append(b[ok])
-        starts = np.flatnonzero(first)
-        for g in np.flatnonzero((size > flat) | cross[starts]):
-            rows = np.arange(starts[g], starts[g] + size[g])
-            if cross[rows[0]]:
-                lower = part[rows] == pdf["i"].iloc[rows[0]]
-                q, p = rows[lower], rows[~lower]
-            else:
-                q = p = rows
-            if not len(q) or not len(p):
-                continue
-            a, b = _search(vec[q], n[q], vec[p], n[p], num, den)
-            a, b = q[a], p[b]
-            ok = (a != b) & (np.minimum(n[a], n[b]) * den >= num * np.maximum(n[a], n[b]))
-            left.append(a[ok])
-            right.append(b[ok])
-        a, b = (np.concatenate(x) if x else np.zeros(0, int) for x in (left, right))
-        out = pd.DataFrame({"a": ids[a], "b": ids[b]})
-        swap = out["a"] > out["b"]
-        out.loc[swap, ["a", "b"]] = out.loc[swap, ["b", "a"]].to_numpy()
-        return out[out["a"] < out["b"]].drop_duplicates()
+        # In large blocks the long sets, which bits do not tell apart, meet through a tree over their vectors.
+        wide = pdf["vec"].notna().to_numpy()
+        treed = wide & (np.bincount(block, wide)[block] > flat)
+        a, b = _meeting(block, n, pdf["rest"].to_numpy(), side, [pdf[f"bits{k}"].to_numpy().view(np.uint64) for k in range(STEPS)], num, den, treed)
+        if wide.any():
+            at = np.cumsum(wide) - 1
+            vec = _unpacked(pdf["vec"][wide])
+            both = wide[a] & wide[b]
+            ok = ~both
+            ok[both] = _meets(np.minimum(vec[at[a[both]]], vec[at[b[both]]]).sum(1, dtype=np.int64), n[a[both]], n[b[both]], num, den)
+            left, right = [a[ok]], [b[ok]]
+            for g in np.unique(block[treed]):
+                rows = np.flatnonzero(treed & (block == g))
+                q, p = (rows, rows) if side[rows[0]] == 0 else (rows[side[rows] == 1], rows[side[rows] == 2])
+                if not len(q) or not len(p):
+                    continue
+                x, y = _search(vec[at[q]], n[q], vec[at[p]], n[p], num, den)
+                x, y = q[x], p[y]
+                ok = (x != y) & (np.minimum(n[x], n[y]) * den >= num * np.maximum(n[x], n[y]))
+                left.append(x[ok])
+                right.append(y[ok])
+            a, b = np.concatenate(left), np.concatenate(right)
+        a, b = ids[a], ids[b]
+        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         keep: pd.DataFrame | None = None
         for pdf in batches:
             pdf = pdf if keep is None else pd.concat([keep, pdf], ignore_index=True)
-            last = pdf[["tok", "i", "j"]].iloc[-1]
-            tail = ((pdf["tok"] == last["tok"]) & (pdf["i"] == last["i"]) & (pdf["j"] == last["j"])).to_numpy()
+            tail = (pdf["tok"] == pdf["tok"].iloc[-1]).to_numpy()
             done, keep = pdf[~tail].reset_index(drop=True), pdf[tail]
             if len(done):
                 yield of(done)
@@ -213,16 +249,19 @@ def near_copies(df: DataFrame, ident: str, text: str, k: int = 5, num: int = 4,
 
     Shingles are ordered by how many shingles of all classes fall in their bucket, so
     rare ones come first; two similar sets share a shingle among the first few of each
-    (the prefix), so classes meet in the blocks of their prefix shingles. In a block, sizes, positions and an R-tree over vectors of group
-    counts bound the overlap (summed coordinate minima); survivors are verified exactly.
+    (the prefix), so classes meet in the blocks of their prefix shingles. In a block, sizes, positions and vectors of group
+    counts bound the overlap (summed coordinate minima, by bits; of long sets through an R-tree); survivors are verified exactly.
     Blocks above BLOCK rows are split into pairs of parts.
     """
     toks = df.select(F.col(ident).alias("id"), words(F.col(text)).alias("w")).filter("id is not null").filter(F.size("w") >= max(least_words, k))
     sets = toks.select("id", shingles(F.col("w"), k).alias("sh"))
-    sets = sets.select("id", "sh", F.unhex(F.md5(F.array_join(F.transform("sh", lambda x: x.cast("string")), ","))).alias("cls"))
+    half = lambda seed: F.lpad(F.hex(F.xxhash64(F.lit(seed), "sh")), 16, "0")
+    # Kept, so that shingles are computed once for members and classes.
+    sets = kept(sets.select("id", "sh", F.unhex(F.concat(half(1), half(2))).alias("cls")))
     members = sets.select(F.col("id").alias(ident), "cls")
-    classes = cut(sets.groupBy("cls").agg(F.min("sh").alias("sh")))
+    classes = kept(sets.groupBy("cls").agg(F.min("sh").alias("sh")).withColumn("no", F.monotonically_increasing_id()))
     weights = df.sparkSession.sparkContext.broadcast(_bucket_counts(classes))
+    wide = WIDE
 
     def prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -235,23 +274,27 @@ def near_copies(df: DataFrame, ident: str, text: str, k: int = 5, num: int = 4,
             keep = (pos < (n - -(-n * num // den) + 1)[owner]) & (weight[order] > 1)
             at = np.searchsorted(owner[keep], np.arange(1, len(pdf)))
             vec = np.bincount(owner * GROUPS + tok % GROUPS, minlength=len(pdf) * GROUPS).reshape(len(pdf), GROUPS)
-            yield pd.DataFrame({"cls": pdf["cls"], "n": n.astype(np.int32), "toks": np.split(tok[order][keep], at), "places": np.split(pos[keep].astype(np.int32), at), "vec": [_packed(v) for v in vec]})
+            bits = {f"bits{k}": x.view(np.int64) for k, x in enumerate(_bits(vec))}
+            yield pd.DataFrame({"no": pdf["no"], "n": n.astype(np.int32), "toks": np.split(tok[order][keep], at), "rests": np.split((n[owner] - pos)[keep].astype(np.int32), at), **bits, "vec": [_packed(v) if m > wide else None for v, m in zip(vec, n)]})
 
-    compact = cut(classes.filter(F.size("sh") > 0).mapInPandas(prefixes, "cls binary, n int, toks array<long>, places array<int>, vec binary"))
-    rows = compact.select("cls", "n", "vec", F.inline(F.arrays_zip(F.col("toks").alias("tok"), F.col("places").alias("pos")))).select("tok", "cls", "n", "pos", "vec")
-    # Blocks above BLOCK rows are told apart before anything moves.
+    about = ["no", "n", "rest", *[f"bits{k}" for k in range(STEPS)], "vec"]
+    compact = cut(classes.filter(F.size("sh") > 0).select("no", "sh").mapInPandas(prefixes, "no long, n int, toks array<long>, rests array<int>, " + "".join(f"bits{k} long, " for k in range(STEPS)) + "vec binary"))
+    rows = compact.select("*", F.inline(F.arrays_zip(F.col("toks").alias("tok"), F.col("rests").alias("rest")))).select("tok", *about)
+    # Blocks above BLOCK rows are told apart before anything moves; a part meets itself, and other parts under keys of their own.
     large, few = large_blocks(rows, "tok", BLOCK)
     marked = rows.join(F.broadcast(large) if few else large, "tok", "left")
-    small = marked.filter("parts is null").select("tok", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("part"), "cls", "n", "pos", "vec")
-    split = marked.filter("parts is not null").withColumn("part", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
-    split = split.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("tok", F.least("part", "o").alias("i"), F.greatest("part", "o").alias("j"), "part", "cls", "n", "pos", "vec")
-    by_block = small.unionByName(split).repartition("tok", "i", "j").sortWithinPartitions("tok", "i", "j")
-    met = by_block.mapInPandas(_candidates(num, den, FLAT), "a binary, b binary").distinct()
-    a = classes.select(F.col("cls").alias("a"), F.col("sh").alias("sa"))
-    b = classes.select(F.col("cls").alias("b"), F.col("sh").alias("sb"))
+    small = marked.filter("parts is null").select("tok", F.lit(0).cast("byte").alias("side"), *about)
+    split = marked.filter("parts is not null").withColumn("part", F.pmod(F.xxhash64("no"), F.col("parts")).cast("int"))
+    split = split.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    side = F.when(F.col("part") == F.col("o"), 0).when(F.col("part") < F.col("o"), 1).otherwise(2).cast("byte")
+    split = split.select(F.xxhash64("tok", F.least("part", "o"), F.greatest("part", "o")).alias("tok"), side.alias("side"), *about)
+    by_block = small.unionByName(split).repartition("tok").sortWithinPartitions("tok", "n")
+    met = by_block.mapInPandas(_candidates(num, den, FLAT), "a long, b long").distinct()
+    a = classes.select(F.col("no").alias("a"), F.col("cls").alias("ca"), F.col("sh").alias("sa"))
+    b = classes.select(F.col("no").alias("b"), F.col("cls").alias("cb"), F.col("sh").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
-    links = met.join(a, "a").join(b, "b").filter(both * (den + num) >= num * (F.size("sa") + F.size("sb"))).select("a", "b")
-    return members, links
+    links = met.join(a, "a").join(b, "b").filter(both * (den + num) >= num * (F.size("sa") + F.size("sb")))
+    return members, links.select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b"))
 
 
 def near_groups(members: DataFrame, links: DataFrame, ident: str) -> DataFrame:

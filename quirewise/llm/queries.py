@@ -39,7 +39,6 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     """Near-identical requests, and requests wrongly listed as duplicates."""
     issues = cut(records(spark, folder, "issues", "pair_id", "id", "comment_text", "possible_duplicates"))
     members, links = nearcopies.near_copies(issues, "issue_key", "comment_text", k=3, num=1, den=2, least_words=8)
-    members = cut(members)
     a = members.select(F.col("issue_key").alias("x"), F.col("cls").alias("a"))
     b = members.select(F.col("issue_key").alias("y"), F.col("cls").alias("b"))
     # The table's form asks for all pairs, of copies too; a text that many requests share is split.
