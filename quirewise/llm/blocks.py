@@ -5,19 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirewise.session import cut
+from quirewise.operators import meet
 
 #: Most rows of a table of large blocks that is broadcast; beyond, it is joined by shuffle.
 MOST_BROADCAST = 100_000
 
 
 def large_blocks(rows: DataFrame, key: str, block: int) -> tuple[DataFrame, bool]:
-    """(key, parts) of the blocks above `block` rows, and whether that table is small enough to broadcast.
-
-    At most one row for every `block` rows there are; counts have a partial stage.
-    """
-    large = cut(rows.groupBy(key).agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > block).select(key, F.ceil(F.col("m") / block).cast("int").alias("parts")))
-    return large, large.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
+    """(key, parts) of the blocks above `block` rows, and whether that table is small enough to broadcast."""
+    return meet.large_blocks(rows, key, block, MOST_BROADCAST)
 
 
 def block_pairs(rows: DataFrame, key: str, ident: str, block: int = 1024, one_key: bool = False) -> DataFrame:
