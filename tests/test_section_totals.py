@@ -34,3 +34,13 @@ def test_values_by_section(spark):
     assert sorted(got.select(*A.value_facts(x, A.scope_texts(t, p, m, tree)).columns).collect()) == want
     assert [tuple(r)[1:] for r in want] == [("1", 3, 0, 0, 3), ("2", 1, 0, 0, 1), ("3", 0, 0, 0, 0), ("4", 1, 0, 0, 0)]
     assert [tuple(r)[2:] for r in A.whole_value_facts(x.filter("issue_id = '6'"), p, counts).collect()] == [(3, 0, 0, 3)]
+
+
+def test_insertions_move_without_their_texts(spark):
+    said = [("P", "revised", "S1", k, "insertion", "body", f"spring and autumn {k}") for k in range(6)] + [("P", "revised", "S2", 9, "insertion", "body", "spring")]
+    tracked = spark.createDataFrame(said, "pair_id string, side string, section_id string, ord int, kind string, story string, text string")
+    x = spark.createDataFrame([("P", "1", ["autumn", "none"]), ("P", "2", ["autumn", "spring"])], "pair_id string, issue_id string, terms array<string>")
+    scopes = spark.createDataFrame([("P", "1", "S1"), ("P", "1", "S9")], "pair_id string, issue_id string, in_section string")
+    got = A.tracked_evidence(x, scopes, x.filter("issue_id = '2'").select("pair_id", "issue_id"), tracked)
+    assert sorted(tuple(r)[1:] for r in got.collect()) == [(i, k + 1, k, f"spring and autumn {k}") for i in ("1", "2") for k in range(3)]
+    assert "Window" not in got._jdf.queryExecution().optimizedPlan().toString()
