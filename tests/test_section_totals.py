@@ -36,6 +36,16 @@ def test_values_by_section(spark):
     assert [tuple(r)[2:] for r in A.whole_value_facts(x.filter("issue_id = '6'"), p, counts).collect()] == [(3, 0, 0, 3)]
 
 
+def test_changes_by_section(spark):
+    p, s, m, t = parts(spark)
+    rows = [("P", 2, 2, "modified", False, "S1", "S1", 4), ("P", 4, 4, "unchanged", False, "S2", "S2", None), ("P", None, 6, "added", False, None, "S3", 3), ("P", 6, None, "removed", False, "S3", None, None), ("P", 8, None, "removed", False, "S4", None, None), ("P", 7, 5, "moved", False, "S4", "S3", None), ("P", 1, 1, "modified", True, "S1", "S1", 2)]
+    d = spark.createDataFrame(rows, "pair_id string, original int, revised int, kind string, is_heading boolean, original_section_id string, revised_section_id string, unit_words int")
+    want = L.scope_counts(L.scope_changes(t, d, m, s), ["pair_id", "issue_id"])
+    got = L.scope_totals(t, d, m, s)
+    assert got.columns == want.columns and sorted(got.collect()) == sorted(want.collect())
+    assert {r["issue_id"] for r in want.collect()} == {"1", "2", "3", "4"}
+
+
 def test_insertions_move_without_their_texts(spark):
     said = [("P", "revised", "S1", k, "insertion", "body", f"spring and autumn {k}") for k in range(6)] + [("P", "revised", "S2", 9, "insertion", "body", "spring")]
     tracked = spark.createDataFrame(said, "pair_id string, side string, section_id string, ord int, kind string, story string, text string")
